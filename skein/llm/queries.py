@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, topk, toxicity
+from . import chat, decontam, mixing, topk, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_decontamination": decontam.op2_decontamination,
+    "op6_chat_format": chat.op6_chat_format,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 ORACLES = {
     "op1_source_mix": mixing.ORACLE,
+    "op6_chat_format": chat.ORACLE,
     "op10_exact_topk": topk.ORACLE,
 }
