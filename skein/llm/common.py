@@ -167,3 +167,12 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
         for i in range(n):
             acc = acc * BASE + words[i : len(words) - n + 1 + i]
     return mix(acc)
+
+
+#: A side goes out as a broadcast if its measured rows take no more than this; else it is shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, a table cheap to count, with a broadcast hint if rows * row_bytes is within BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
