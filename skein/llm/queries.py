@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, line_dedup, mixing, ngram_join, topk, toxicity
+from . import chat, decontam, license_scan, line_dedup, mixing, ngram_join, secret_scan, topk, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_chat_format": chat.op6_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
