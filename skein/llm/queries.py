@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, license_scan, line_dedup, mixing, ngram_join, secret_scan, topk, toxicity
+from . import chat, decontam, license_scan, line_dedup, mixing, ngram_join, secret_scan, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_chat_format": chat.op6_chat_format,
     "op7_line_dedup": line_dedup.op7_line_dedup,
