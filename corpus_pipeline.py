@@ -1,18 +1,20 @@
-"""A training corpus in stages: each stage's documents are written as Parquet and read again by the next."""
+"""A training corpus in five stages: each stage's documents are written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import common, decontam, mixing, toxicity
+from skein.llm import common, decontam, line_dedup, mixing, ngram_join, toxicity
 
 STAGES = [
     ("toxicity", toxicity.stage),
+    ("line dedup", line_dedup.stage),
+    ("n-gram Jaccard join", ngram_join.stage),
     ("benchmark decontamination", decontam.stage),
     ("source mixing", mixing.stage),
 ]
 
-#: Regression, hashing and searches can't be told in SQL; tests hold the stages against brute force.
+#: Regression and hashing can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
