@@ -64,7 +64,7 @@ class CumulativeLink:
         return self.grades[0] + self.beyond(scores) @ np.diff(self.grades)
 
 
-def fit(rows: list[tuple[int, np.ndarray]], l2: float = 0.02, steps: int = 400) -> CumulativeLink:
+def fit(rows: list[tuple[int, np.ndarray]], l2: float = 0.02, steps: int = 1500) -> CumulativeLink:
     """Fit to (grade, sorted distinct word hashes). Words take part whose share in some upper range of grades exceeds chance
     by a Chernoff bound, at a false discovery rate of a tenth over all words tried; the fit is full-batch gradient descent with an L2 penalty."""
     y = np.array([g for g, _ in rows], np.int64)
