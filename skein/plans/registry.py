@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from . import catalogue
+
+QUERIES = catalogue.QUERIES
+ORACLES = catalogue.ORACLES
+FLAGSHIP = catalogue.select_samples
