@@ -16,11 +16,11 @@ _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
 def erfc(x) -> np.ndarray:
-    return _erfc(np.asarray(x, float)).astype(float)
+    return np.asarray(_erfc(np.asarray(x, float)), float)
 
 
 def gammaln(x) -> np.ndarray:
-    return _lgamma(np.asarray(x, float)).astype(float)
+    return np.asarray(_lgamma(np.asarray(x, float)), float)
 
 
 def digamma(x) -> np.ndarray:

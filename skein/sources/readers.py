@@ -60,9 +60,13 @@ def haplotype_paths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read, seq) of four-line records; compressed files too. Line numbers are taken within a file, which one task reads whole."""
-    rows = spark.read.option("wholetext", True).text(path)
-    numbered = rows.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("n", "line"), F.col("_metadata.file_name").alias("file"))
+    """(read, seq) of four-line records. One task reads a file whole, as compressed files can't be split; lines are numbered within it."""
+    if path.endswith(".gz"):
+        rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
+        numbered = rows.withColumn("n", F.col("id") - F.min("id").over(Window.partitionBy("file")))
+    else:
+        rows = spark.read.option("wholetext", True).text(path)
+        numbered = rows.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.col("_metadata.file_name").alias("file"))
     return numbered.where("n % 4 = 1").select(F.concat_ws(":", "file", ((F.col("n") - 1) / 4).cast("long")).alias("read"), F.col("line").alias("seq"))
 
 
