@@ -65,7 +65,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
         rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
         numbered = rows.withColumn("n", F.col("id") - F.min("id").over(Window.partitionBy("file")))
     else:
-        rows = spark.read.option("wholetext", True).text(path)
+        rows = spark.read.text(path, wholetext=True)
         numbered = rows.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.col("_metadata.file_name").alias("file"))
     return numbered.where("n % 4 = 1").select(F.concat_ws(":", "file", ((F.col("n") - 1) / 4).cast("long")).alias("read"), F.col("line").alias("seq"))
 
@@ -83,7 +83,7 @@ def gene_lengths(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 def stops(spark: SparkSession, path: str) -> DataFrame:
     """(gene, nth, unitig, forward): stop codons in file order."""
-    rows = spark.read.option("wholetext", True).text(path).select(gene_of(F.col("_metadata.file_path")).alias("gene"), F.posexplode(F.split("value", "\n")).alias("nth", "line")).where(F.trim("line") != "")
+    rows = spark.read.text(path, wholetext=True).select(gene_of(F.col("_metadata.file_path")).alias("gene"), F.posexplode(F.split("value", "\n")).alias("nth", "line")).where(F.trim("line") != "")
     f = F.split("line", "\t")
     return rows.select("gene", "nth", f[0].alias("unitig"), (F.trim(f[1]) != "-").alias("forward"))
 
@@ -120,7 +120,7 @@ def blast(spark: SparkSession, path: str) -> DataFrame:
 
 def contig_paths(spark: SparkSession, path: str) -> DataFrame:
     """(contig, pos, unitig) of alternating NODE and comma-list lines; a contig's list may go on after ';'."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).where(F.trim("line") != "")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).where(F.trim("line") != "")
     w = Window.partitionBy("file").orderBy("n")
     rows = rows.withColumn("contig", F.last(F.when(F.col("line").startswith("NODE"), F.trim("line")), ignorenulls=True).over(w)).where(~F.col("line").startswith("NODE"))
     steps = rows.select("contig", "n", F.posexplode(F.split(F.regexp_replace("line", "[;\\s]", ""), ",")).alias("p", "node")).where("node <> ''")
