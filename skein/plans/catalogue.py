@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import columns, sequence, special
+from skein.operators import annotate
 from skein.operators import coverage as cov
 from skein.operators import factors, flow, folds, graph, metrics, outliers, pathmodel, ranking
 
@@ -550,3 +551,31 @@ def _brand_cells(spark, d):
 @query()
 def variational_nmf(spark, d):
     return factors.variational_restarts(_brand_cells(spark, d), 3, 4, 7, rounds=50)
+
+
+# ---- annotations ----
+
+
+@query("""WITH l AS (SELECT DISTINCT l_suppkey % 10 AS strain, l_partkey AS unitig FROM lineitem), c AS (SELECT unitig, avg(strain * 20) AS a, string_agg(CAST(strain AS VARCHAR), ',' ORDER BY strain) AS strains FROM l GROUP BY 1)
+SELECT unitig, repeat(lpad(upper(to_hex(CAST(floor(a) AS BIGINT))), 2, '0'), 3) AS color, strains FROM c""")
+def strain_colors(spark, d):
+    paths = table(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("strain"), F.col("l_partkey").alias("unitig"))
+    shades = paths.select("strain").distinct().withColumn("color", F.repeat(F.lpad(F.hex(F.col("strain") * 20), 2, "0"), 3))
+    return annotate.segment_colors(paths, shades)
+
+
+@query("""WITH p AS (SELECT l_orderkey AS contig, l_linenumber AS pos, l_partkey AS unitig, CASE WHEN p_size < 25 THEN p_size ELSE -1 END AS bin FROM lineitem JOIN part ON p_partkey = l_partkey),
+c AS (SELECT contig, bin, count(*) AS n, min(pos) AS f FROM p WHERE bin >= 0 GROUP BY 1, 2), m AS (SELECT contig, bin FROM (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY n DESC, f, bin) AS r FROM c) WHERE r = 1)
+SELECT contig, coalesce(m.bin, -1) AS bin FROM (SELECT DISTINCT contig FROM p) LEFT JOIN m USING (contig)""")
+def contig_bins(spark, d):
+    paths = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contig"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("unitig"))
+    bins = table(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("unitig"), F.col("p_size").alias("bin"))
+    return annotate.contig_bins(paths, bins)
+
+
+@query("""WITH e AS (SELECT p_brand AS strain, p_type AS gene, min(p_partkey) AS first, max(p_partkey) AS last FROM part GROUP BY 1, 2), s AS (SELECT *, lead(gene) OVER w AS nxt, lead(first) OVER w AS tt FROM e WINDOW w AS (PARTITION BY strain ORDER BY gene)),
+b AS (SELECT *, 'join_' || gene || '_' || nxt || '_' || strain AS buffer FROM s WHERE nxt IS NOT NULL)
+SELECT gene || '_' || last AS src, true AS src_fwd, buffer AS dst, true AS dst_fwd, 0 AS overlap FROM b UNION ALL SELECT buffer, true, nxt || '_' || tt, true, 0 FROM b""")
+def joined_graphs(spark, d):
+    part = table(spark, d, "part").select(F.col("p_brand").alias("strain"), F.col("p_type").alias("gene"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("unitig"), F.lit(True).alias("forward"))
+    return annotate.joined_genes(part)[1]
