@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import columns, sequence, special
-from skein.operators import annotate
+from skein.operators import annotate, communities
 from skein.operators import coverage as cov
 from skein.operators import factors, flow, folds, graph, metrics, outliers, pathmodel, ranking
 
@@ -579,3 +579,26 @@ SELECT gene || '_' || last AS src, true AS src_fwd, buffer AS dst, true AS dst_f
 def joined_graphs(spark, d):
     part = table(spark, d, "part").select(F.col("p_brand").alias("strain"), F.col("p_type").alias("gene"), F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("unitig"), F.lit(True).alias("forward"))
     return annotate.joined_genes(part)[1]
+
+
+# ---- strain fits ----
+
+
+def _community(spark, d):
+    """The layered event graph as two communities of four genes: a segment's count in a sample is the number of users there."""
+    e = domain.layered(spark, d).withColumn("u", F.concat("u", F.lit("+"))).withColumn("v", F.concat("v", F.lit("+")))
+    first = e.select("gene", F.col("u").alias("n")).join(e.select("gene", F.col("v").alias("n")), ["gene", "n"], "left_anti").distinct().select("gene", F.lit("source+").alias("u"), F.col("n").alias("v"))
+    last = e.select("gene", F.col("v").alias("n")).join(e.select("gene", F.col("u").alias("n")), ["gene", "n"], "left_anti").distinct().select("gene", F.col("n").alias("u"), F.lit("sink+").alias("v"))
+    edges = e.select("gene", "u", "v").union(first).union(last).withColumn("community", F.col("gene") % 2)
+    counts = domain.steps(spark, d).groupBy((F.col("gene") % 2).alias("community"), "gene", F.col("node").alias("unitig"), (F.col("user_id") % 10).alias("sample")).agg(F.count("*").alias("x"))
+    return edges, counts.withColumn("len", F.lit(10.0))
+
+
+@query()
+def vi_fit(spark, d):
+    return communities.fit_strains(*_community(spark, d), 3)
+
+
+@query()
+def cv_select(spark, d):
+    return communities.choose_strains(*_community(spark, d), 2)
