@@ -322,6 +322,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, recall
     parts = common.materialize(common.connected_components(edges))
     counted = parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component")
     members = counted.join(reps.select(F.col("c").alias("node"), "docs", "first_doc"), "node")
+    members = common.sized(common.materialize(members), 80)
     fetched = texts.join(members, texts["doc_id"].eqNullSafe(members["first_doc"]))
     sets = fetched.select(F.col("component").alias("comp"), "size", F.col("node").alias("c"), "docs", "text").mapInArrow(_sets(n), "comp long, size long, c long, docs long, s binary")
     t = F.ceil(F.col("size") / TILE).cast("int")
