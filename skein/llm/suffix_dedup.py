@@ -264,13 +264,13 @@ def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
     hot = common.materialize(opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")))
     opened = opened.join(common.sized(hot, 32), "key", "left")
     lists = common.materialize(opened.groupBy("ord").agg(F.collect_list(F.struct("span", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("open")))
-    wide = lists.select(F.coalesce(F.sum(F.size("open") * 24 + 48), F.lit(0))).first()[0]
+    wide = lists.select(F.coalesce(F.sum(F.size("open") * 56 + 64), F.lit(0))).first()[0]
     around = texts.join(F.broadcast(lists) if wide <= common.BROADCAST_BYTES else lists, "ord").select("ord", "text", "open").mapInArrow(_surroundings(length), "key long, ord long, lo long, bytes binary")
     compared = around.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_compare(length), "ord long, span long")
 
     spans = settled.where("not open").select("ord", "span").union(compared)
     runs = common.materialize(spans.groupBy("ord").agg(F.collect_list("span").alias("spans")).mapInArrow(_joined(length), "ord long, runs array<struct<start: long, end: long>>"))
-    wide = runs.select(F.coalesce(F.sum(F.size("runs") * 16 + 48), F.lit(0))).first()[0]
+    wide = runs.select(F.coalesce(F.sum(F.size("runs") * 40 + 64), F.lit(0))).first()[0]
     out = texts.join(F.broadcast(runs) if wide <= common.BROADCAST_BYTES else runs, "ord", "left")
     return out.select("doc_id", "text", "runs").mapInArrow(_removed, RESULT)
 
