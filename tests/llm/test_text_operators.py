@@ -283,3 +283,20 @@ def test_toxicity_edges(spark):
         got = toxicity.toxicity(docs, model).collect()
         assert len(got) == docs.count() and not any(r.toxic for r in got)
     assert toxicity.toxicity(empty(spark), model).count() == 0
+
+
+def test_residual_pairs_meet_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TILE", 16)
+    r = random.Random(4)
+    base = list(range(40))
+    sets = {k: sorted({x if r.random() > 0.1 else r.randrange(100, 200) for x in base}) for k in range(150)}
+    comp = {k: k // 2 for k in sets}
+    jac = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    bands = [(b, k, len(sets[k]), comp[k], jac(k, 0) if k % 3 else None) for b in range(3) for k in sets if (k * 7 + b) % 3]
+    members = spark.createDataFrame(bands, "band long, key long, n int, comp long, j0 double")
+    got = {tuple(x) for x in line_dedup._residual(members, spark.createDataFrame(list(sets.items()), "key long, s array<int>")).collect()}
+    inside = defaultdict(set)
+    for b, k, *_ in bands:
+        inside[b].add(k)
+    want = {(a, b) for ks in inside.values() for a in ks for b in ks if a < b and comp[a] != comp[b] and jac(a, b) >= 0.8}
+    assert got == want and len(want) > 20
