@@ -500,12 +500,12 @@ def shortest_distances(spark, d):
 
 @query()
 def path_samples(spark, d):
-    return pathmodel.path_samples(domain.layered(spark, d), 100, 23724839)
+    return pathmodel.path_samples(domain.layered(spark, d, None), 100, 23724839)
 
 
 @query()
 def superbubbles(spark, d):
-    return pathmodel.superbubbles(domain.layered(spark, d).select("gene", "u", "v"))
+    return pathmodel.superbubbles(domain.layered(spark, d, None).select("gene", "u", "v"))
 
 
 @query()
@@ -517,21 +517,16 @@ def cycle_removal(spark, d):
 
 @query()
 def flow_decompose(spark, d):
-    e = domain.layered(spark, d)
-    first = e.join(e.select("gene", F.col("v").alias("u")).distinct(), ["gene", "u"], "left_anti").groupBy("gene", "u").agg(F.sum("weight").alias("f"))
-    last = e.join(e.select("gene", F.col("u").alias("v")).distinct(), ["gene", "v"], "left_anti").groupBy("gene", "v").agg(F.sum("weight").alias("f"))
-    whole = e.select("gene", "u", "v", F.col("weight").alias("flow")).union(first.select("gene", F.lit("source+"), "u", "f")).union(last.select("gene", "v", F.lit("sink+"), "f"))
-    return flow.flow_paths(whole)
+    e = domain.layered(spark, d, None).union(domain.ends(spark, d))
+    return flow.flow_paths(e.select("gene", "u", "v", F.col("weight").alias("flow")))
 
 
 @query()
 def flow_normalise(spark, d):
-    e = domain.layered(spark, d)
+    e = domain.layered(spark, d, None)
     got = e.groupBy("gene", "v").agg(F.sum("weight").alias("target"))
-    none = F.lit(None).cast("double")
-    first = e.select("gene", F.col("u").alias("n")).join(e.select("gene", F.col("v").alias("n")), ["gene", "n"], "left_anti").distinct().select("gene", F.lit("source+").alias("u"), F.col("n").alias("v"), none.alias("target"))
-    last = e.select("gene", F.col("v").alias("n")).join(e.select("gene", F.col("u").alias("n")), ["gene", "n"], "left_anti").distinct().select("gene", F.col("n").alias("u"), F.lit("sink+").alias("v"), none.alias("target"))
-    return flow.normalised_flows(e.select("gene", "u", "v").join(got, ["gene", "v"]).select("gene", "u", "v", "target").union(first).union(last))
+    outer = domain.ends(spark, d).select("gene", "u", "v", F.lit(None).cast("double").alias("target"))
+    return flow.normalised_flows(e.select("gene", "u", "v").join(got, ["gene", "v"]).select("gene", "u", "v", "target").union(outer))
 
 
 # ---- fits ----
@@ -586,11 +581,10 @@ def joined_graphs(spark, d):
 
 def _community(spark, d):
     """The layered event graph as two communities of four genes: a segment's count in a sample is the number of users there."""
-    e = domain.layered(spark, d).withColumn("u", F.concat("u", F.lit("+"))).withColumn("v", F.concat("v", F.lit("+")))
-    first = e.select("gene", F.col("u").alias("n")).join(e.select("gene", F.col("v").alias("n")), ["gene", "n"], "left_anti").distinct().select("gene", F.lit("source+").alias("u"), F.col("n").alias("v"))
-    last = e.select("gene", F.col("v").alias("n")).join(e.select("gene", F.col("u").alias("n")), ["gene", "n"], "left_anti").distinct().select("gene", F.col("n").alias("u"), F.lit("sink+").alias("v"))
-    edges = e.select("gene", "u", "v").union(first).union(last).withColumn("community", F.col("gene") % 2)
-    counts = domain.steps(spark, d).groupBy((F.col("gene") % 2).alias("community"), "gene", F.col("node").alias("unitig"), (F.col("user_id") % 10).alias("sample")).agg(F.count("*").alias("x"))
+    signed = lambda n: F.when(F.col(n).isin("source+", "sink+"), F.col(n)).otherwise(F.concat(n, F.lit("+"))).alias(n)
+    e = domain.layered(spark, d, None).union(domain.ends(spark, d)).select("gene", signed("u"), signed("v"))
+    edges = e.withColumn("community", F.col("gene") % 2)
+    counts = domain.steps(spark, d, None).groupBy((F.col("gene") % 2).alias("community"), "gene", F.col("node").alias("unitig"), (F.col("user_id") % 10).alias("sample")).agg(F.count("*").alias("x"))
     return edges, counts.withColumn("len", F.lit(10.0))
 
 

@@ -24,20 +24,29 @@ def unitigs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("unitig"), F.col("p_size").alias("len"))
 
 
-def steps(spark: SparkSession, d: str, depth: int = 5) -> DataFrame:
-    """(gene, user_id, pos, node): each user's first events by time, as nodes type_rank; a gene is an eighth of the users."""
+def steps(spark: SparkSession, d: str, depth: int | None = 5) -> DataFrame:
+    """(gene, user_id, pos, node): each user's first `depth` events by time (None: all), as nodes type_rank; a gene is an eighth of the users."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type").withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= depth)
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type").withColumn("pos", F.row_number().over(w))
+    e = e if depth is None else e.where(F.col("pos") <= depth)
     return e.select((F.col("user_id") % 8).alias("gene"), "user_id", "pos", F.concat_ws("_", "event_type", "pos").alias("node"))
 
 
-def layered(spark: SparkSession, d: str) -> DataFrame:
+def layered(spark: SparkSession, d: str, depth: int | None = 5) -> DataFrame:
     """(gene, u, v, weight): transitions between layers with their counts."""
     w = Window.partitionBy("user_id").orderBy("pos")
-    e = steps(spark, d).withColumn("v", F.lead("node").over(w)).where("v is not null")
+    e = steps(spark, d, depth).withColumn("v", F.lead("node").over(w)).where("v is not null")
     return e.groupBy("gene", F.col("node").alias("u"), "v").agg(F.count("*").cast("double").alias("weight"))
 
 
+def ends(spark: SparkSession, d: str) -> DataFrame:
+    """(gene, u, v, weight): edges from source+ to the first and from the last of all events of each user, with their counts."""
+    e = steps(spark, d, None)
+    last = e.groupBy("gene", "user_id").agg(F.max_by("node", "pos").alias("u")).select("gene", "u", F.lit("sink+").alias("v"))
+    both = e.where("pos = 1").select("gene", F.lit("source+").alias("u"), F.col("node").alias("v")).union(last)
+    return both.groupBy("gene", "u", "v").agg(F.count("*").cast("double").alias("weight"))
+
+
 def links(spark: SparkSession, d: str) -> DataFrame:
     """(gene, src, src_fwd, dst, dst_fwd): parts of one order's neighbouring lines, the strand by the parity of key sums."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
