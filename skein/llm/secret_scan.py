@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A candidate: 16 and more characters of keys, digits and letters among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-
 # Prefixes of public key formats.
 PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_", "sk-", "xoxb-", "xoxp-", "AIza", "eyJ", "npm_"]
 
@@ -21,6 +18,15 @@ PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_",
 PAIRS = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le"]
 DICTIONARY = ["account", "address", "alpha", "android", "article", "asset", "beta", "build", "cache", "chapter", "class", "client", "config", "content", "data", "date", "default", "demo", "document", "example", "file", "final", "font", "image", "index", "item", "label", "layout", "linux", "list", "local", "main", "master", "member", "model", "name", "node", "number", "object", "option", "order", "page", "photo", "placeholder", "product", "profile", "project", "release", "report", "sample", "section", "server", "session", "size", "style", "table", "target", "test", "thumb", "title", "type", "update", "user", "value", "version", "video", "window", "your"]
 SECRET_NEAR = r"(?i)(token|secret|passw|passphrase|api.?key|access.?key|private.?key|auth|credential|bearer)"
+_KEY = "[A-Za-z0-9+/_-]"
+_NAMED = r"(?:token|secret(?!ar)|passw|passphrase|api.?key|access.?key|private.?key|auth(?!ors?\b)|credential)[a-z0-9_.-]{0,20}[\"']?\s{0,3}(?:=>|:=|==|=|:)\s{0,3}[\"']?"
+#: A candidate: what is assigned to a name of secrets or follows 'bearer' (to the closing quote, or to white space or a character that shells
+#: have quoted), of any length; or 16 and more characters of keys with digits and letters among them or a key's prefix, '=' only as padding.
+CANDIDATE = (
+    rf"(?<=[=:>\s\"'])(?<=(?i:{_NAMED}|bearer\s{{1,3}}))(?![\s=:>\"']|(?i:bearer|basic)\s)"
+    r"(?:(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|[^\s\"'&;<>()|]*[^\s\"'&;<>()|,.\]}])"
+    rf"|(?<!{_KEY})(?:(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])|(?={'|'.join(PREFIXES)})){_KEY}{{16,}}(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+)
 HARMLESS_NEAR = r"(?i)(commit|sha-?\d*|digest|checksum|md5|etag|uuid|guid|hash|revision|build|version|isbn|session id|request id|image|file)"
 HARMLESS_PATH = r"(?i)(test|example|sample|fixture|mock|demo|doc|vendor|lock)"
 
@@ -58,7 +64,15 @@ def labelled_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str,
     for _ in range(n):
         name = r.choice(["token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret"])
         quote = r.choice(['"', "'", ""])
-        kind = r.randrange(5)
+        kind = r.randrange(8)
+        if kind > 4:
+            word = lambda: "".join(r.choice(PAIRS) for _ in range(r.randint(2, 4)))
+            x = [word() + pick(string.digits, 1, 4) + pick(string.ascii_lowercase, 0, 3), "".join(word() for _ in range(r.randint(3, 5))), pick(string.ascii_letters + string.digits + "!@#$%", 8, 16)][kind - 5]
+            shell = r.random() < 0.5
+            before = prose() + ("\n" + r.choice(["DB_", "APP_", ""]) + name.upper() + "=" if shell else name + r.choice([" = ", "=", ": "]) + (quote := r.choice("\"'")))
+            after = ("\n" if shell else quote + r.choice([" ", "\n"])) + prose()
+            out.append((before[-40:], x, after[:20], r.choice(paths), 1))
+            continue
         if kind < 2:
             x, before = digit(pick(hexes, 32, 64) if kind else pick(b64, 20, 48)), prose() + name + r.choice([" = ", "=", ": "]) + quote
             after = quote + r.choice([" ", "\n"]) + prose()
@@ -68,8 +82,13 @@ def labelled_findings(n: int = 1500, seed: int = 5) -> list[tuple[str, str, str,
             before, after = (prose() if r.random() < 0.7 else prose() + name + " = " + quote), " " + prose()
         out.append((before[-40:], digit(x), after[:20], r.choice(paths), 1))
     for _ in range(n):
-        kind, near = r.randrange(8), r.choice(["commit ", "sha256:", "md5 ", "etag: ", "checksum = ", "revision ", "digest "])
+        kind, near = r.randrange(10), r.choice(["commit ", "sha256:", "md5 ", "etag: ", "checksum = ", "revision ", "digest "])
         before, after = prose(), " " + prose()
+        if kind > 7:
+            x = r.choice(["none", "None", "null", "true", "str", "string", "required", "self.token", "os.environ", "$TOKEN", "${SECRET}", pick(string.digits, 1, 4), pick(string.ascii_lowercase, 1, 7), r.choice(DICTIONARY)])
+            before += r.choice(["token", "secret", "password", "api_key", "auth", "tokens"]) + r.choice([": ", ": ", " = ", "="])
+            out.append((before[-40:], x, after[:20], r.choice(paths), 0))
+            continue
         if kind == 0:
             x, before = pick(hexes, 32, 64), before + near
         elif kind == 1:
@@ -137,10 +156,15 @@ def score_column(trees: list) -> Column:
 
 
 def train(spark, findings: list[tuple[str, str, str, str, int]] | None = None, most: int = 10_000) -> list:
-    """A forest from labelled findings, at most `most` of them."""
+    """A forest from labelled findings (before, candidate, after, path, label), at most `most` of them; what the scan finds in each as a text, or
+    if it finds nothing the finding itself, gives the features."""
     rows = (labelled_findings() if findings is None else findings)[:most]
-    df = spark.createDataFrame(rows, "before string, candidate string, after string, path string, label int")
-    got = df.select(*features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")), "label").collect()
+    df = spark.createDataFrame([(i, (b or "") + c + (a or ""), b, c, a, p, y) for i, (b, c, a, p, y) in enumerate(rows)], "doc_id long, text string, b string, c string, a string, path string, label int")
+    own = F.filter("found", lambda f: f["candidate"].contains(F.col("c")) | F.col("c").contains(f["candidate"]) & (F.char_length(f["candidate"]) * 2 > F.char_length("c")))
+    met = candidates(df, "path").select("doc_id", "found").join(df, "doc_id").withColumn("own", own)
+    f = F.coalesce(F.get(F.reverse("own"), F.lit(0)), F.struct(F.col("c").alias("candidate"), F.col("b").alias("before"), F.col("a").alias("after")))
+    df = met.withColumn("f", f).orderBy("doc_id")
+    got = df.select(*features(F.col("f.candidate"), F.col("f.before"), F.col("f.after"), F.col("path")), "label").collect()
     data = np.array([tuple(r) for r in got], float)
     return forest(data[:, :-1], data[:, -1])
 
@@ -151,7 +175,8 @@ def candidates(docs: DataFrame, path: str) -> DataFrame:
     t = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col(path).alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), text.alias("text"))
     between = F.split("text", CANDIDATE, -1)
     tail, head = lambda s: F.substring(s, -40, 40), lambda s: F.substring(s, 1, 20)
-    found = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), F.get(F.col("around"), i)["tail"].alias("before"), F.get(F.col("around"), i + 1)["head"].alias("after")))
+    near = lambda i: F.when(i > 0, F.concat(F.get(F.col("around"), i - 1)["tail"], F.get("c", i - 1))).otherwise("")
+    found = F.transform("c", lambda c, i: F.struct(c.alias("candidate"), tail(F.concat(near(i), F.get(F.col("around"), i)["tail"])).alias("before"), F.get(F.col("around"), i + 1)["head"].alias("after")))
     t = t.withColumn("around", F.when(F.size("c") > 0, F.transform(between, lambda s: F.struct(tail(s).alias("tail"), head(s).alias("head")))))
     return t.select("doc_id", "th", "path", found.alias("found"))
 
@@ -161,7 +186,7 @@ def scan(docs: DataFrame, trees: list, path: str = "source", threshold: float =
     (doc_id, text, path) of docs: the candidates and those that the forest scores at `threshold` or more, by position
     among the candidates.
 
-    The text between candidates gives the neighbouring words. Null and empty texts have no candidates; equal candidates count
+    The text between candidates gives the neighbouring words, before a candidate with the candidate there and the text before that. Null and empty texts have no candidates; equal candidates count
     each; a null path is an empty one; rows that repeat doc_id, text and path give one row; an empty table gives none; further
     columns are ignored. Whole texts are searched, and candidates may be of any length.
     """
