@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local one, but on local masters only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="skein-")
@@ -30,7 +34,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: what was made of them is materialized itself."""
+    for df in tables:
+        if path := getattr(df, "_skein_path", None):
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -48,31 +63,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Edges that are joined in one task.
+FEW = 20_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b), at most FEW -> (a, to): each node and the smallest of its component."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([find(x) for x in list(parent)], pa.int64())], ["a", "to"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a long, b long) -> (node long, component long): component is the smallest node id of the component.
 
     Contraction: in each round every node moves to the neighbour with the smallest hash (a new hash every round), edges
-    are renamed and self links go. Expected rounds are logarithmic in the component size; each round's tables
-    are written to the shared folder. Nulls and self links are ignored; no edges give no rows.
+    are renamed and self links go, until at most FEW edges are left, which one task joins. Expected rounds are logarithmic in the
+    component size; each round's tables are written to the shared folder. Nulls and self links are ignored; no edges give no rows.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    both = materialize(both)
+    both = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct())
     where = None
     for round_ in range(max_rounds):
-        if both.isEmpty():
+        n = both.count()
+        if not n:
             break
         sym = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seed = F.lit(round_)
         near = sym.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("x"))).alias("n"))
         own = F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("x"))
-        step = materialize(near.select("a", F.least(F.col("n"), own)["x"].alias("to")))
+        if n <= FEW:
+            step = materialize(both.repartition(1).mapInArrow(_joined, "a long, to long"))
+        else:
+            step = materialize(near.select("a", F.least(F.col("n"), own)["x"].alias("to")))
+        before = where
         if where is None:
-            where = step.select(F.col("a").alias("node"), F.col("to").alias("at"))
+            where = materialize(step.select(F.col("a").alias("node"), F.col("to").alias("at")))
         else:
-            where = where.join(step.withColumnRenamed("a", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
-        where = materialize(where)
+            where = materialize(where.join(step.withColumnRenamed("a", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at")))
+            discard(before)
+        if n <= FEW:
+            break
         moved = both.join(step, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(step, "a").select(F.col("x").alias("a"), F.col("to").alias("b"))
-        both = materialize(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = materialize(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        discard(both, step)
+        both = left
     else:
         raise RuntimeError("connected components did not converge")
     if where is None:

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import chat, common, license_scan, secret_scan, topk
@@ -103,10 +104,11 @@ def test_topk_is_exact_with_ties_and_odd_vectors(spark, monkeypatch):
     v = rng.integers(-2, 3, (300, 4)) / 256
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan"), 0.0, 0.0, 0.0]), (403, [float("inf")] * 4), (404, [0.5, 0.5]), (405, []), (None, [0.1] * 4), (450, [0.5, 0.25])]
     df = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5)
-    vectors = topk.quantized(df, "vec_id", "embedding")
-    monkeypatch.setattr(topk, "QUERY_BYTES", 100)
+    vectors = topk.finite(df, "vec_id", "embedding")
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 2000)
     monkeypatch.setattr(topk, "TILE", 16)
-    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("id % 50 = 0"), 5).collect())
+    got = sorted(tuple(r) for r in topk.top_k(vectors, vectors.where("id % 50 = 0"), 5, scale=256).collect())
     q, want = np.floor(v * 256).astype(int), []
     for i in range(0, 300, 50):
         s = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5]
@@ -117,13 +119,34 @@ def test_topk_is_exact_with_ties_and_odd_vectors(spark, monkeypatch):
 
 def test_topk_large_components_and_empty(spark):
     df = spark.createDataFrame([(0, [1e6, 2.0]), (1, [1e6, 3.0]), (2, [-1e6, 1.0])], "vec_id long, embedding array<double>")
-    v = topk.quantized(df, "vec_id", "embedding")
-    got = [(r.vec_id, r.score) for r in topk.top_k(v, v.where("id = 0"), 5).orderBy("rank").collect()]
+    v = topk.finite(df, "vec_id", "embedding")
+    got = [(r.vec_id, r.score) for r in topk.top_k(v, v.where("id = 0"), 5, scale=256).orderBy("rank").collect()]
     assert got == [(1, 256_000_000**2 + 512 * 768), (2, -(256_000_000**2) + 512 * 256)]
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
     assert topk.top_k(v, v.limit(0), 5).count() == 0
 
 
+def test_topk_components_up_to_1e15_are_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [[float(x) for x in rng.integers(-9, 9, 4) / 256] for _ in range(40)] + [[1e15, -1.0, 0.0, 0.25], [0.0, 8.4e6, -9e6, 0.5], [1e15, 1e15, -1e15, 1e15], [0.0, 0.0, 0.0, 1e300]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(4)
+    v = topk.finite(df, "vec_id", "embedding").where("id not in (42, 43)")
+    whole = {i: [int(np.floor(x * 256)) for x in r] for i, r in enumerate(rows) if i not in (42, 43)}
+    want = []
+    for i in (0, 7, 40, 41):
+        s = sorted((-sum(x * y for x, y in zip(whole[i], whole[j], strict=True)), j) for j in whole if j != i)[:5]
+        want += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
+    assert sorted(tuple(r) for r in topk.top_k(v, v.where("id in (0, 7, 40, 41)"), 5, scale=256).collect()) == want
+    assert max(abs(x[3]) for x in want) > 2**60
+    v = topk.finite(df, "vec_id", "embedding")
+    with pytest.raises(Exception, match="beyond the 64 bits"):  # 40 and 42
+        topk.top_k(v, v.where("id = 40"), 5, scale=256).collect()
+    low = v.where("id in (40, 42)").withColumn("v", F.when(F.col("id") == 42, F.transform("v", lambda x: -x)).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="beyond the 64 bits"):  # fewer candidates than k, and one is too low
+        topk.top_k(low, low.where("id = 40"), 5, scale=256).collect()
+    assert [r.vec_id for r in topk.top_k(low.union(v.where("id < 2")), low.where("id = 40"), 2, scale=256).orderBy("rank").collect()] == sorted((0, 1), key=lambda j: (-sum(x * y for x, y in zip(whole[40], whole[j], strict=True)), j))
+
+
 # ---- components ----
 
 
