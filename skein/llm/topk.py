@@ -11,26 +11,52 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of query vectors that are sent to the executors at once; more queries take more passes.
-QUERY_BYTES = 32 << 20
+#: Bytes of a block of queries, and of the vectors that it meets in one cell of the grid of blocks and shards.
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
+#: Vectors of a tile.
 TILE = 1024
+PACKED = "dim int, ids binary, v binary"
 
 
-def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """(id, v array<long>): floor(scale * x) of each component; rows with a null id, a null vector, null or non-finite
-    components, none at all, or components of 2^31 and more after scaling take no part."""
+def finite(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id long, v array<double>); rows with a null id, a null or empty vector, or null or non-finite components take no part."""
     v = F.col(vector_col).cast("array<double>")
-    fits = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(2**31) / scale)))
-    return (
-        vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-        .where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
-        .where(fits)
-        .select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
-    )
+    fits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0)).where(fits)
 
 
-def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(rows, -1)
+def _pack(rows: int, width: int):
+    """(id, v) -> PACKED: runs of vectors of one length, at most `rows` of them (if 0, of `width` bytes)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def out(dim: int) -> pa.RecordBatch:
+            ids, v, _ = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(v).tobytes()], pa.binary())], ["dim", "ids", "v"])
+
+        for batch in batches:
+            lengths = np.asarray(batch.column(1).value_lengths())
+            for dim in np.unique(lengths).tolist():
+                own = batch.filter(pa.array(lengths == dim))
+                ids, flat, most = np.asarray(own.column(0)), np.asarray(own.column(1).flatten()).reshape(-1, dim), rows or max(1, width // (8 * dim))
+                at = 0
+                while at < len(ids):
+                    mine = held.setdefault(dim, [[], [], 0])
+                    take = min(most - mine[2], len(ids) - at)
+                    mine[0].append(ids[at : at + take])
+                    mine[1].append(flat[at : at + take].ravel())
+                    mine[2] += take
+                    at += take
+                    if mine[2] == most:
+                        yield out(dim)
+            if sum(8 * d * x[2] for d, x in held.items()) > 4 * max(width, BLOCK_BYTES):  # many lengths
+                for dim in list(held):
+                    yield out(dim)
+        for dim in list(held):
+            yield out(dim)
+
+    return pack
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,83 +72,117 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: floats where every partial sum fits their mantissa."""
-    bound = a.shape[1] * max(1, int(np.abs(a).max(initial=0))) * max(1, int(np.abs(b).max(initial=0)))
-    if bound < 2**24:
-        return (a.astype(np.float32) @ b.T.astype(np.float32)).astype(np.int64)
-    if bound < 2**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+NONE = np.iinfo(np.int64).min + 1  # its negative fits too
+#: Stands for any score below the range of a long.
+LOW = NONE + 1
 
 
-NONE = np.iinfo(np.int64).min + 1  # its negative fits too
+def quantize(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x), as whole floats; scale is a power of two, so beyond 2^53 nothing is rounded either."""
+    with np.errstate(over="ignore"):
+        return np.floor(x * scale)
 
 
-def _searcher(sent, k: int):
+def _whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python's integers, of any size."""
+    out = np.empty(x.shape, object)
+    out.ravel()[:] = [int(np.floor(c * scale)) if abs(c) < 2.0**60 else int(c) * scale for c in x.ravel().tolist()]
+    return out
+
+
+def scores_of(a: np.ndarray, b: np.ndarray, skip: np.ndarray, scale: int) -> np.ndarray:
+    """Exact integer products of all rows of a and b, NONE where skip is true, LOW below the range of a long; beyond it, an error.
+    Floats where every partial sum fits their mantissa; rows too large for 64-bit sums go by Python's integers."""
+    p, q, dim = quantize(a, scale), quantize(b, scale), a.shape[1]
+    size_a, size_b = np.abs(p).max(axis=1), np.abs(q).max(axis=1)
+    bound = dim * max(1.0, size_a.max(initial=0)) * max(1.0, size_b.max(initial=0))
+    if bound < 2**24:
+        out = (p.astype(np.float32) @ q.T.astype(np.float32)).astype(np.int64)
+    elif bound < 2**53:
+        out = (p @ q.T).astype(np.int64)
+    else:
+        safe = np.sqrt(2.0**62 / dim)
+        small_a, small_b = size_a < safe, size_b < safe
+        out = np.zeros((len(a), len(b)), np.int64)
+        out[np.ix_(small_a, small_b)] = p[small_a].astype(np.int64) @ q[small_b].astype(np.int64).T
+        for rows, cols in ((~small_a, np.ones(len(b), bool)), (small_a, ~small_b)):
+            if rows.any() and cols.any():
+                big = _whole(a[rows], scale) @ _whole(b[cols], scale).T
+                big[skip[np.ix_(rows, cols)]] = NONE
+                if (big > np.iinfo(np.int64).max).any():
+                    raise OverflowError("exact top-k: an inner product is beyond the 64 bits of a score")
+                out[np.ix_(rows, cols)] = np.where(big < LOW, LOW, big).astype(np.int64)
+    out[skip] = NONE
+    return out
+
+
+def _searcher(k: int, scale: int):
+    """Rows of cells (block, shard), each cell's block of queries (kind 0) before its tiles (kind 1) -> the k best of each cell."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = sent.value
-        dim = q.shape[1]
-        top_s = np.full((len(q_ids), k), NONE)
-        top_i = np.full((len(q_ids), k), np.iinfo(np.int64).max)
+        cell = None
+
+        def best():
+            keep = top_s > NONE
+            row, _ = np.nonzero(keep)
+            return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(top_i[keep]), pa.array(top_s[keep])], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            lengths = np.asarray(batch.column(1).value_lengths())
-            batch = batch.filter(pa.array(lengths == dim))
-            for at in range(0, batch.num_rows, TILE):
-                part = batch.slice(at, TILE)
-                ids, shard = np.asarray(part.column(0)), _matrix(part.column(1), part.num_rows)
+            for block, shard, kind, dim, ids, v in zip(*(batch.column(i) for i in range(6)), strict=True):
+                ids, v = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(v.as_py(), np.float64).reshape(-1, dim.as_py())
+                if kind.as_py() == 0:
+                    if cell is not None:
+                        yield best()
+                    cell, q_ids, q = (block.as_py(), shard.as_py()), ids, v
+                    top_s, top_i = np.full((len(ids), k), NONE), np.full((len(ids), k), np.iinfo(np.int64).max)
+                    continue
+                if cell != (block.as_py(), shard.as_py()):
+                    raise RuntimeError("exact top-k: tiles without their queries")
                 for lo in range(0, len(q_ids), TILE):
                     hi = min(lo + TILE, len(q_ids))
-                    scores = _product(q[lo:hi], shard)
-                    scores[q_ids[lo:hi, None] == ids[None, :]] = NONE
+                    scores = scores_of(q[lo:hi], v, q_ids[lo:hi, None] == ids[None, :], scale)
                     s, i = _best(scores, np.broadcast_to(ids, scores.shape), k)
                     s, i = np.concatenate((top_s[lo:hi], s), 1), np.concatenate((top_i[lo:hi], i), 1)
                     top_s[lo:hi], top_i[lo:hi] = _best(s, i, k)
-        row, _ = np.nonzero(top_s > NONE)
-        keep = top_s > NONE
-        if len(row):
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(top_i[keep]), pa.array(top_s[keep])], ["query_id", "vec_id", "score"])
+        if cell is not None:
+            yield best()
 
     return search
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, fan_in: int = 16) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of queries (id, v) the k rows of vectors (id, v) of another id with the
-    highest inner product, ties to the smaller id; fewer where there are fewer. Queries meet vectors of their own length.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1, fan_in: int = 16) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of queries (id long, v array<double>) the k rows of vectors (id, v) of another id with the
+    highest inner product of floor(scale * component), ties to the smaller id; fewer where there are fewer. scale is a power of two.
+    Queries meet vectors of their own length.
 
-    Queries go out in blocks of at most QUERY_BYTES, whatever their number; each block passes over all vectors once, in tiles.
-    Each task keeps k rows a query; lists merge in a tree, fan_in at a time. A query id that repeats counts once, by its first
-    vector in order; a repeated vector row is a candidate each time. Empty inputs give no rows.
+    Queries are packed into blocks of at most BLOCK_BYTES, vectors into tiles and those into shards of about SHARD_BYTES; every block meets every
+    shard in a cell of its own, so a task holds one block and one tile, and nothing passes through the driver. Each cell keeps k rows
+    a query; lists merge in a tree, fan_in at a time. A query id that repeats counts once, by its first vector in order; a repeated
+    vector row is a candidate each time. Finite components of any size take part; a score among a query's k that is
+    beyond 64 bits is an error that says so. Empty inputs give no rows. Vectors must be finite.
     """
-    spark = vectors.sparkSession
-    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    found = None
-    dims = [r["n"] for r in queries.select(F.size("v").alias("n")).distinct().collect()]
-    for dim in sorted(dims):
-        per = max(1, QUERY_BYTES // (8 * dim))
-        own = queries.where(F.size("v") == dim)
-        blocks = max(1, -(-own.count() // per))
-        dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        for block in range(blocks):
-            got = dealt.where(F.col("block") == block).select("id", "v").toArrow()
-            if not got.num_rows:
-                continue
-            ids = np.asarray(got.column(0).combine_chunks())
-            sent = spark.sparkContext.broadcast((ids, _matrix(got.column(1).combine_chunks(), len(ids))))
-            part = vectors.select("id", "v").mapInArrow(_searcher(sent, k), "query_id long, vec_id long, score long")
-            found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows = queries.groupBy("id").agg(F.min("v").alias("v"))
+    blocks = rows.select(F.col("id").alias("i"), "v").mapInArrow(_pack(0, BLOCK_BYTES), PACKED)
+    blocks = common.materialize(blocks.withColumn("block", F.xxhash64("dim", "ids")))
+    tiles = common.materialize(vectors.select("id", "v").mapInArrow(_pack(TILE, 0), PACKED))
+    held = tiles.agg(F.coalesce(F.sum(F.octet_length("v")), F.lit(0))).first()[0]
+    shards = max(1, -(-held // SHARD_BYTES))
+    meets = common.sized(blocks.select("dim", "block"), 24)
+    cells = tiles.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int")).join(meets, "dim").select("block", "shard", F.lit(1).alias("kind"), "dim", "ids", "v")
+    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards) - 1)))).select("block", "shard", F.lit(0).alias("kind"), "dim", "ids", "v")
+    dealt = asked.union(cells).repartition("block", "shard").sortWithinPartitions("block", "shard", "kind")
+    found = dealt.mapInArrow(_searcher(k, scale), "query_id long, vec_id long, score long")
     by = [F.desc("score"), F.asc("vec_id")]
     few = found.withColumn("branch", F.spark_partition_id() % fan_in)
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "branch").orderBy(*by))).where(F.col("r") <= k)
     out = few.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*by))).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("score") <= LOW, F.raise_error(F.lit("exact top-k: an inner product is beyond the 64 bits of a score"))).otherwise(F.col("score"))
+    return out.select("query_id", "rank", "vec_id", score.cast("long").alias("score"))
 
 
 def op10_exact_topk(spark, sf_dir: str) -> DataFrame:
-    vectors = quantized(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5)
+    vectors = finite(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("id") % 50 == 0), 5, scale=256)
 
 
 ORACLE = """
