@@ -1,10 +1,12 @@
-"""Repeated-substring dedup over a prefix-free parse: rolling-hash triggers cut texts into phrases; phrases and their surroundings
-that occur once are settled by fingerprint, and only where different surroundings meet are suffixes compared byte by byte.
-
-Every window of `length` bytes belongs to the trigger that is least in it, which its own bytes decide. So equal windows belong to equal
-triggers at equal offsets, and a trigger with its windows (a record) is compared with records of the same trigger alone. Only whether
-two suffixes agree on their first `length` bytes matters, not which sorts first: fingerprints of prefixes take the place of ranks in
-suffix arrays of dictionary and parse, so nothing is sorted over the whole corpus.
+"""Repeated-substring dedup over a prefix-free parse: rolling-hash triggers cut texts into overlapping phrases; distinct phrases make the
+dictionary, their places in corpus order the parse, and sorted suffixes of the dictionary's phrases tell which windows are equal.
+
+Every window of `length` bytes belongs to the trigger whose rolling hash is least in it, which its own bytes decide. A phrase is a trigger
+with all its windows, so neighbours overlap by `length` - 1 bytes, no window leaves its phrase, and equal windows lie in phrases of equal
+triggers: suffixes of phrases with different triggers have no window in common (the parse is prefix-free), and the dictionary's suffix array falls
+apart into one for each trigger, built where its phrases meet. As no window leaves its phrase, the order of the parse's suffixes decides
+nothing beyond the order of places, which stands in for it. Equal phrases are found by 64-bit fingerprints, windows of different phrases by
+their bytes (those of triggers with over HOT phrases by fingerprints of single windows).
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .ngram_join import bounds_of, groups
 
 #: Bytes that a trigger is chosen by, and that its fingerprint covers.
 GRAM, CONTEXT = 8, 32
+#: Low bits of a trigger's order that hold its place in a chunk; the others are its hash.
+PLACE_BITS = 36
 #: Records of one trigger that are compared in one place; those of more common triggers are dealt by single windows.
 HOT = 20_000
 
@@ -47,7 +51,7 @@ def records(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
         key = (prefix[GRAM:] - prefix[:-GRAM]) * down[:n]
         key ^= key >> np.uint64(32)
         key *= np.uint64(0xD6E8FEB86659FD93)
-    mask = np.uint64((1 << int(n).bit_length()) - 1)
+    mask = np.uint64((1 << PLACE_BITS) - 1)  # the same for every chunk, so equal windows choose alike; of equal hashes the first counts
     key = (key & ~mask) | np.arange(n, dtype=np.uint64)
     span = 1
     while 2 * span <= width:
@@ -168,8 +172,21 @@ def _surroundings(length: int):
     return surroundings
 
 
+def prefix_ranks(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the suffixes of buf at these places by their first `length` bytes (8 at least), equal for equal bytes: prefix doubling from words of 8."""
+    n, width = len(buf), 8
+    padded = np.concatenate((buf, np.zeros(8, np.uint8)))
+    _, rank = np.unique(np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(">u8").ravel().astype(np.uint64), return_inverse=True)
+    while 2 * width <= length:
+        _, rank = np.unique(rank[: n - 2 * width + 1] * np.int64(n + 1) + rank[width : n - width + 1], return_inverse=True)
+        width *= 2
+    _, out = np.unique(rank[at] * np.int64(n + 1) + rank[at + length - width], return_inverse=True)
+    return out
+
+
 def _compare(length: int):
-    """Rows of _surroundings sorted by key -> (ord, span) of the windows that repeat an earlier one."""
+    """Rows of _surroundings sorted by key -> (ord, span) of the windows that repeat an earlier one: equal ranks in the suffix array of
+    the phrases, and among those all but the first place."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, 1):
@@ -187,10 +204,10 @@ def _compare(length: int):
                 count = np.where(size > 0, size - length + 1, 1)
                 row = np.repeat(np.arange(len(own)), count)
                 nth = np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
-                prints = key[bounds[i] + row].view(np.uint64).copy()
+                prints = np.zeros(len(row), np.int64)  # of single windows the key tells all
                 real = size[row] > 0
-                s = at[row[real]] + nth[real]
-                prints[real] = common.span_hash(common.prefix_hash(BYTES[np.frombuffer(b"".join(own), np.uint8)]), s, s + length)
+                if real.any():
+                    prints[real] = prefix_ranks(np.frombuffer(b"".join(own), np.uint8), at[row[real]] + nth[real], length)
                 k, o, w = key[bounds[i] + row], ord_[bounds[i] + row], lo[bounds[i] + row] + nth
                 order, again = _repeats((k, prints), o, w)
                 repeat = np.zeros(len(row), bool)
@@ -244,7 +261,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
     """RESULT for each row of docs (doc_id, text): bytes that a string of `length` bytes covers that also starts earlier (in a smaller
-    doc_id, or earlier in the text) are removed; overlaps count and all is judged on the input.
+    doc_id, or earlier in the text) are removed; overlaps count and all is judged on the input. A text is parsed in one piece and takes some tens
+    of bytes of memory for each of its own.
 
     Null texts are empty; texts of fewer bytes lose none; rows of one doc_id count in the order of their texts' hashes, so of repeated
     rows one stays; null doc_ids come first; an empty table gives no rows; further columns are ignored. length: more than CONTEXT and below 4096.
@@ -264,8 +282,7 @@ def dedup_substrings(docs: DataFrame, length: int = 100) -> DataFrame:
     hot = common.materialize(opened.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key", F.lit(True).alias("hot")))
     opened = opened.join(common.sized(hot, 32), "key", "left")
     lists = common.materialize(opened.groupBy("ord").agg(F.collect_list(F.struct("span", "key", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("open")))
-    wide = lists.select(F.coalesce(F.sum(F.size("open") * 56 + 64), F.lit(0))).first()[0]
-    around = texts.join(F.broadcast(lists) if wide <= common.BROADCAST_BYTES else lists, "ord").select("ord", "text", "open").mapInArrow(_surroundings(length), "key long, ord long, lo long, bytes binary")
+    around = texts.join(lists, "ord").select("ord", "text", "open").mapInArrow(_surroundings(length), "key long, ord long, lo long, bytes binary")
     compared = around.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_compare(length), "ord long, span long")
 
     spans = settled.where("not open").select("ord", "span").union(compared)
