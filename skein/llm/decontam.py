@@ -101,28 +101,37 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _judged(sent: list, texts: pa.Array) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """Words, hit spans and found items of each text."""
+    n = len(texts)
+    sizes, spans, found = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
+    for k in range(max(1, len(sent))):
+        vocabulary, searches = sent[k].value if sent else ({}, [])
+        for r, text in enumerate(texts):
+            words = words_of(text.as_py())
+            sizes[r] = len(words)
+            ids = list(map(vocabulary.get, words, [0] * len(words)))
+            for search in searches:
+                mine: list[tuple[int, int]] = []
+                search.search(ids, mine, found[r])
+                spans[r] += mine
+        if len(sent) > 1:
+            sent[k].__dict__.pop("_value", None)  # one block in memory at a time
+    return sizes, [joined(s) for s in spans], found
+
+
+def _contaminated(sizes: list[int], spans: list[list[tuple[int, int]]]) -> tuple[list[int], list[bool]]:
+    hits = [sum(e - s for s, e in x) for x in spans]
+    return hits, [h > 0 and 20 * h >= w for h, w in zip(hits, sizes, strict=True)]
+
+
 def _finder(sent: list):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            sizes, spans, found = [0] * n, [[] for _ in range(n)], [set() for _ in range(n)]
-            for k in range(max(1, len(sent))):
-                vocabulary, searches = sent[k].value if sent else ({}, [])
-                for r, text in enumerate(batch.column(1)):
-                    words = words_of(text.as_py())
-                    sizes[r] = len(words)
-                    ids = list(map(vocabulary.get, words, [0] * len(words)))
-                    for search in searches:
-                        mine: list[tuple[int, int]] = []
-                        search.search(ids, mine, found[r])
-                        spans[r] += mine
-                if len(sent) > 1:
-                    sent[k].__dict__.pop("_value", None)  # one block in memory at a time
-            spans = [joined(s) for s in spans]
-            hits = [sum(e - s for s, e in x) for x in spans]
+            sizes, spans, found = _judged(sent, batch.column(1))
+            hits, bad = _contaminated(sizes, spans)
             items = [sorted(x) for x in found]
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            bad = [h > 0 and 20 * h >= w for h, w in zip(hits, sizes, strict=True)]
             rows = [[{"start": s, "end": e} for s, e in x] for x in spans]
             kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             columns = [batch.column(0), sizes, hits, [len(x) for x in items], digests, bad, items, rows]
@@ -131,6 +140,12 @@ def _finder(sent: list):
     return find
 
 
+def _sent(spark, benchmark: DataFrame, n: int, most: int) -> list:
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("binary").alias("t"))
+    rows = ((r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in items.toLocalIterator())
+    return [spark.sparkContext.broadcast(compiled(block)) for block in window_blocks(rows, n, most)]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, most: int = 100_000) -> DataFrame:
     """One row for each row of docs (doc_id, text), in SCHEMA: its words, the words inside occurrences of benchmark windows, the
     items with occurring windows (by digest and as a sorted list), the hit spans in words, and whether it is contaminated.
@@ -140,10 +155,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, most: int
     rows of one item_id are one item; repeated rows of docs are judged each; an empty benchmark hits nothing; further
     columns are ignored. No shuffle: documents stay where they are read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("binary").alias("t"))
-    rows = ((r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in items.toLocalIterator())
-    sent = [spark.sparkContext.broadcast(compiled(block)) for block in window_blocks(rows, n, most)]
+    sent = _sent(docs.sparkSession, benchmark, n, most)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_finder(sent), SCHEMA)
 
 
@@ -153,7 +165,13 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated."""
-    benchmark = common.table(spark, sf_dir, "benchmark")
-    bad = common.materialize(decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that are not contaminated, each row judged by its own text, whatever its doc_id; columns of any name are kept. Null and
+    empty texts are clean; repeated rows are judged alike; an empty table gives no rows."""
+    sent, at = _sent(spark, common.table(spark, sf_dir, "benchmark"), 13, 100_000), docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, spans, _ = _judged(sent, batch.column(at).cast(pa.binary()))
+            yield batch.filter(pa.array([not bad for bad in _contaminated(sizes, spans)[1]], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

@@ -53,10 +53,10 @@ def schedule(spark, quotas: DataFrame, slots: int, chunk: int = 1 << 16) -> Data
     return kept.unionByName(more.select((F.lit(slots) + F.col("rank")).alias("slot"), "src", "rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), block: int = 2048) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction = Fraction(3, 2), block: int = 2048, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Mix documents (doc_id, source, text). Returns (documents, plan).
 
-    documents: doc_id, source, size, source_size, target, taken - one row for each input row. plan: slot, src, epoch, rid,
+    documents: doc_id, source, size, source_size, target, taken - one row for each input row, and key, if such an expression of it is given. plan: slot, src, epoch, rid,
     start, words - the words of document rid that slot takes, in mixing order.
 
     Size is the number of words of whole texts. Sources, by code point with null last, get the weights in turn; share times
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
     The sources' names are gathered on the driver, one row each.
     """
     spark = docs.sparkSession
-    slim = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"))
+    slim = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), (F.lit(None).cast("long") if key is None else key).alias("key"))
     slim = slim.withColumn("k", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     slim = common.materialize(slim.withColumn("rid", F.monotonically_increasing_id()))
     sources = [(r["source"], r["n"], r["size"]) for r in slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()]
@@ -107,8 +107,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
     first = F.greatest("a", F.col("block") * block)
     taken = order.join(pieces, ["src", "block"]).select("slot", "src", "epoch", "rid", (first - F.col("a")).alias("start"), (F.least("e", "until") - first).alias("words")).where("words > 0")
     per = taken.groupBy("rid").agg(F.sum("words").alias("taken"))
-    out = named.join(per, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return out, taken
+    out = named.join(per, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "key")
+    return (out.drop("key") if key is None else out), taken
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -116,7 +116,26 @@ def op1_source_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs)[0]
+    """All documents with their texts and columns, and size, source_size, target and taken of the mix (in place of columns of these names): a
+    document's words are to be taken taken / size times. Rows that repeat doc_id, source and text share their words evenly, the rest going
+    to any of them; nulls and empty tables are as in mix."""
+    names = ["size", "source_size", "target", "taken"]
+    id_, src, th, rest, times = common.fresh(docs, "mix_id", "mix_source", "mix_text", "mix_rest", "mix_times")
+    per = mix(docs, key=F.xxhash64("text"))[0].groupBy(F.col("doc_id").alias(id_), F.col("source").alias(src), F.col("key").alias(th)).agg(
+        F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias(times)
+    )
+    per = common.materialize(per)
+    kept = docs.drop(*names)
+    same = kept["doc_id"].eqNullSafe(F.col(id_)) & kept["source"].eqNullSafe(F.col(src)) & F.xxhash64(kept["text"]).eqNullSafe(F.col(th))
+    columns = [kept[c] for c in kept.columns]
+    several = per.where(F.col(times) > 1)
+    single = kept.join(common.sized(per, 120), same).where(F.col(times) == 1).select(*columns, *names)
+    if several.isEmpty():
+        return single
+    met = kept.join(common.sized(common.materialize(several), 120), same)
+    nth = F.row_number().over(Window.partitionBy(id_, src, th).orderBy(F.lit(1))) - 1
+    shared = met.withColumn(rest, nth).withColumn("taken", F.floor(F.col("taken") / F.col(times)) + (F.col(rest) < F.col("taken") % F.col(times)).cast("long"))
+    return single.unionByName(shared.select(*columns, *names))
 
 
 ORACLE = r"""

@@ -86,7 +86,7 @@ def _sign(n: int):
                     if len(held) >= 256:
                         flush()
             flush()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n", "c", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "th", "n", "c", "sig"])
 
     return sign
 
@@ -292,9 +292,14 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, recall
     keep their rows, with the class of the others; an empty table gives no rows; further columns are ignored. Sets are keyed by
     64-bit hashes.
     """
-    similarity, spark = num / den, docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = common.materialize(texts.mapInArrow(_sign(n), "doc_id long, n int, c long, sig binary"))
+    return _joined(docs, n, num, den, recall).drop("th", "class_key")
+
+
+def _joined(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, recall: float = 0.999) -> DataFrame:
+    """jaccard_join with th, the hash of the text, and class_key, which names the class whatever its doc_ids."""
+    similarity = num / den
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th"))
+    signed = common.materialize(texts.mapInArrow(_sign(n), "doc_id long, th long, n int, c long, sig binary"))
     reps = common.materialize(signed.where("c is not null").groupBy("c").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig")))
 
     level = reps.select("c", "sig").mapInArrow(_roots(runs_for(similarity, recall)), "path long, c long")
@@ -335,15 +340,15 @@ def jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, recall
     joined = common.connected_components(verified.select(F.col("c").alias("a"), F.col("parent").alias("b")))
     named = joined.join(reps.select(F.col("c").alias("node"), "first_doc"), "node")
     least = named.groupBy("component").agg(F.min("first_doc").alias("class_doc"))
-    named = named.join(least, "component").select(F.col("node").alias("c"), "class_doc")
+    named = named.join(least, "component").select(F.col("node").alias("c"), "class_doc", F.col("component").alias("class_key"))
     classes = reps.select("c", "docs", "first_doc").join(named, "c", "left").join(linked, "c", "left")
     classes = classes.select(
-        F.col("c").alias("text_key"), F.coalesce("class_doc", "first_doc").alias("class_id"),
+        F.col("c").alias("text_key"), F.coalesce("class_doc", "first_doc").alias("class_id"), F.coalesce("class_key", "c").alias("class_key"),
         (F.col("docs") - 1 + F.coalesce("docs_linked", F.lit(0))).alias("n_links"), F.coalesce("texts_linked", F.lit(0)).alias("n_text_links"),
     )
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("text_key")).join(classes, "text_key", "left")
+    out = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("c").alias("text_key")).join(classes, "text_key", "left")
     return out.select(
-        "doc_id", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "th", "class_key", F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"), "n_shingles", "text_key",
     )
 
@@ -353,10 +358,23 @@ def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: that with the smallest doc_id. Rows that repeat a doc_id with an equal set count once."""
-    joined = common.materialize(jaccard_join(docs))
-    kept = joined.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id", "text_key")
-    out = docs.join(kept.select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.where("text_key is not null").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])
+    """One row of each class, that with the smallest doc_id (null last), then the smallest hash of its text; columns of any name are kept.
+
+    Rows are told apart by doc_id and text: a doc_id that repeats with another text is another row, and of rows that repeat both one stays,
+    any of them. Rows without words stay, all of them, as they are in no class. An empty table gives no rows.
+    """
+    rows = common.materialize(_joined(docs).where("class_key is not null").groupBy("doc_id", "th").agg(F.first("class_key").alias("class_key"), F.count("*").alias("times")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    best = rows.groupBy("class_key").agg(F.min(order).alias("best"))
+    id_, th = common.fresh(docs, "row_id", "row_th")
+    named = [F.col("doc_id").alias(id_), F.col("th").alias(th)]
+    gone = common.materialize(rows.join(best, "class_key").where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))).select(*named))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(th))
+    kept = docs.join(common.sized(gone, 40), same, "left_anti")
+    again = rows.where("times > 1").select(*named)
+    if again.isEmpty():
+        return kept
+    again = common.sized(common.materialize(again), 40)
+    text = common.fresh(docs, "row_text")[0]
+    once = kept.join(again, same).withColumn(text, F.xxhash64("text")).dropDuplicates([id_, text]).select(*docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(once)

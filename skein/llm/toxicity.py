@@ -23,8 +23,8 @@ def _words(column: pa.Array) -> Iterator[np.ndarray]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [w.view(np.int64).tolist() for w in _words(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["grade", "words"])
+        words = [w.view(np.int64) for w in _words(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(words, pa.list_(pa.int64()))], ["place", "grade", "n", "words"])
 
 
 def _excess(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
@@ -60,6 +60,13 @@ class CumulativeLink:
         """P(grade > k) for each score and threshold."""
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.theta[None, :], -50, 50)))
 
+    def grade(self, scores: np.ndarray) -> np.ndarray:
+        """The median grade."""
+        return self.grades[(self.beyond(scores) >= 0.5).sum(axis=1)]
+
+    def toxic(self, scores: np.ndarray) -> np.ndarray:
+        return self.grade(scores) > self.grades[0]
+
     def severity(self, scores: np.ndarray) -> np.ndarray:
         return self.grades[0] + self.beyond(scores) @ np.diff(self.grades)
 
@@ -109,15 +116,26 @@ def fit(rows: list[tuple[int, np.ndarray]], l2: float = 0.02, steps: int = 1500)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", most: int = 8000) -> CumulativeLink:
-    """Fit on at most `most` labelled documents, those whose doc_id hashes lowest. Rows with a null doc_id or grade don't count."""
+def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", most: int = 8000, most_words: int = 4_000_000) -> CumulativeLink:
+    """Fit on at most `most` labelled documents, those whose doc_id hashes lowest, as far as their distinct words, summed in that order, stay
+    within most_words (the first counts anyway). Rows with a null doc_id or grade don't count; of several grades of a doc_id the highest, of several
+    texts the least counts."""
     spark = docs.sparkSession
-    own = labels.where(f"doc_id is not null and {grade} is not null").select("doc_id", F.col(grade).cast("long").alias("grade"))
+    own = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("long").alias("grade"))
     own = own.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = spark.createDataFrame([tuple(r) for r in own.collect()], "doc_id long, grade long")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # `most` rows of two integers
-    rows = texts.select("grade", "text").mapInArrow(_features, "grade long, words array<long>").toArrow()
-    order = [(g.as_py(), np.asarray(w.values, np.int64).view(np.uint64)) for g, w in zip(rows.column(0), rows.column(1), strict=True)]
+    picked = spark.createDataFrame([(r["doc_id"], place, r["grade"]) for place, r in enumerate(own.collect())], "doc_id long, place long, grade long")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # `most` rows of three integers
+    texts = texts.groupBy("place", "grade").agg(F.min("text").alias("text"))
+    rows = common.materialize(texts.mapInArrow(_features, "place long, grade long, n long, words array<long>"))
+    total, until = 0, 0
+    for place, n in sorted(tuple(r) for r in rows.select("place", "n").collect()):
+        total += n
+        if total > most_words and until:
+            break
+        until = place + 1
+    got = rows.where(F.col("place") < until).select("grade", "words").toArrow()
+    common.discard(rows)
+    order = [(g.as_py(), np.asarray(w.values, np.int64).view(np.uint64)) for g, w in zip(got.column(0), got.column(1), strict=True)]
     order.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))  # the same sums whatever the order of arrival
     return fit(order)
 
@@ -127,9 +145,7 @@ def _scorer(sent):
         model: CumulativeLink = sent.value
         for batch in batches:
             scores = np.array([model.score(w) for w in _words(batch.column(1))], float)
-            beyond = model.beyond(scores)
-            grade = model.grades[(beyond >= 0.5).sum(axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.severity(scores), pa.float64()), pa.array(grade, pa.int32()), pa.array(grade > model.grades[0])], ["doc_id", "severity", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.severity(scores), pa.float64()), pa.array(model.grade(scores), pa.int32()), pa.array(model.toxic(scores))], ["doc_id", "severity", "grade", "toxic"])
 
     return score
 
@@ -148,7 +164,15 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic."""
-    model = train(docs, common.table(spark, sf_dir, "labels"))
-    bad = common.materialize(toxicity(docs, model).where("toxic").select("doc_id").distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The documents that are not toxic, each row judged by its own text, whatever its doc_id; columns of any name are kept. Null and empty
+    texts score as texts without known words; repeated rows are judged alike; an empty table gives no rows."""
+    sent = spark.sparkContext.broadcast(train(docs, common.table(spark, sf_dir, "labels")))
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: CumulativeLink = sent.value
+        for batch in batches:
+            scores = np.array([model.score(w) for w in _words(batch.column(at).cast(pa.binary()))], float)
+            yield batch.filter(pa.array(~model.toxic(scores)))
+
+    return docs.mapInArrow(clean, docs.schema)
