@@ -47,3 +47,22 @@ def mean_color(colors: Column) -> Column:
 
 def corrected_kmer_count(kc: Column, length: Column, k: int) -> Column:
     return kc * length / (length - k)
+
+
+def tent(phi: Column) -> Column:
+    """The distance from 0 or 1, whichever is nearer."""
+    return F.when(phi < 0.5, phi).otherwise(1 - phi)
+
+
+def gamma_mode(alpha: Column, beta: Column) -> Column:
+    return (alpha - 1) / beta
+
+
+def exponential_draw(rate: Column, seed: int) -> Column:
+    """A draw for each row; the same seed and partitioning draw the same."""
+    return -F.ln(1 - F.rand(seed)) / rate
+
+
+def normal_draw(mu: Column, tau: Column, seed: int) -> Column:
+    """N(mu, 1 / tau)."""
+    return mu + F.randn(seed) / F.sqrt(tau)

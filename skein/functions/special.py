@@ -80,6 +80,44 @@ def draw_truncated_normal(mu, tau, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
+def draw_normal_between(low, high, mu, sigma, rng: np.random.Generator, size: int) -> np.ndarray:
+    """Draws of N(mu, sigma^2) limited to [low, high], either end may be infinite: from the normal where the interval holds much of
+    it, evenly with a Gaussian test where it is short, else Robert's exponential proposal for the tail that it lies in."""
+    a, b = (low - mu) / sigma, (high - mu) / sigma
+    if not a < b:
+        raise ValueError("an empty interval")
+    if b < 0:  # the upper tail alone is handled
+        return 2 * mu - draw_normal_between(2 * mu - high, 2 * mu - low, mu, sigma, rng, size)
+    out, have = np.empty(size), 0
+    near = a if a > 0 else 0.0
+    while have < size:
+        n = 2 * (size - have) + 16
+        if a < 0.5 and b - a > 1:
+            z = rng.standard_normal(n)
+            z = z[(z >= a) & (z <= b)]
+        elif b - a <= 1 or not a > 0:
+            z = rng.uniform(a, b, n)
+            z = z[rng.random(n) <= np.exp(0.5 * (near * near - z * z))]
+        else:
+            rate = (a + math.sqrt(a * a + 4)) / 2
+            z = a + rng.exponential(1 / rate, n)
+            z = z[(rng.random(n) <= np.exp(-0.5 * (z - rate) ** 2)) & (z <= b)]
+        take = min(len(z), size - have)
+        out[have : have + take] = z[:take]
+        have += take
+    return mu + sigma * out
+
+
+def gamma_draw(seed: int):
+    """A pandas UDF (alpha, beta, row) -> a draw of Gamma(alpha, rate beta), the same for the same seed and row."""
+
+    @F.pandas_udf(T.DoubleType())
+    def draw(alpha: pd.Series, beta: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([seed, int(r)]).gamma(a, 1 / b) for a, b, r in zip(alpha, beta, row, strict=True)], dtype=float)
+
+    return draw
+
+
 @F.pandas_udf(MOMENTS)
 def truncated_normal_moments(mu: pd.Series, tau: pd.Series) -> pd.DataFrame:
     mean, variance = truncated_normal(mu.to_numpy(), tau.to_numpy())

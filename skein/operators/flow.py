@@ -8,6 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pathmodel import Dag, given, some
@@ -190,6 +191,86 @@ def fit_flow(
     return flow, [(list(p), a) for p, a in sorted(used.items(), key=lambda x: -x[1])]
 
 
+def random_path(edges: set[Edge], source: str, sink: str, rng: np.random.Generator) -> list[str]:
+    """A path that follows an edge at random at each node; edges must lead to the sink from everywhere."""
+    ahead: dict[str, list[str]] = defaultdict(list)
+    for u, v in sorted(edges):
+        ahead[u].append(v)
+    path = [source]
+    while path[-1] != sink:
+        options = ahead[path[-1]]
+        if not options:
+            raise ValueError(f"{path[-1]} does not lead to the sink")
+        path.append(options[rng.integers(len(options))])
+    return path
+
+
+def fit_logit_flow(edges: set[Edge], source: str, sink: str, goal: dict[str, float], rng: np.random.Generator, rounds: int = 100, least: float = 1e-6, soft: float = 1e-3) -> tuple[dict[str, float], list[float]]:
+    """Throughput of each node under one unit of flow whose soft log odds ln((p + soft) / (1 - p + soft)) come near the goals by half the
+    summed squares, and that loss by round. From two random paths of a half each, flow moves to the cheapest path under the slope; steps are
+    halved until the loss falls."""
+    nodes = sorted({n for e in edges for n in e} - {source, sink})
+    share = dict.fromkeys(nodes, 0.0)
+    for _ in range(2):
+        for n in random_path(edges, source, sink, rng)[1:-1]:
+            share[n] += 0.5
+
+    def odds(p: float) -> float:
+        return float(np.log((p + soft) / (1 - p + soft)))
+
+    def loss(p: dict[str, float]) -> float:
+        return 0.5 * sum((goal[n] - odds(p[n])) ** 2 for n in nodes if n in goal)
+
+    trace = [loss(share)]
+    for _ in range(rounds):
+        slope = {n: (odds(share[n]) - goal[n]) * (1 / (share[n] + soft) + 1 / (1 - share[n] + soft)) if n in goal else 0.0 for n in nodes}
+        path = set(cheapest_path({(u, v): slope.get(v, 0.0) for u, v in edges}, source, sink)[0])
+        step = 0.5
+        while step > 1e-6:
+            trial = {n: min(1.0, max(0.0, (1 - step) * share[n] + step * (n in path))) for n in nodes}
+            if loss(trial) < trace[-1]:
+                break
+            step /= 2
+        else:
+            break
+        share = trial
+        trace.append(loss(share))
+        if trace[-2] - trace[-1] < least:
+            break
+    return share, trace
+
+
+def kl_of_rates(x: np.ndarray, rate: np.ndarray, mask: np.ndarray) -> float:
+    """Summed x ln(x / rate) - x + rate; a count of zero adds its rate."""
+    log = np.where(x > 0, np.log(np.maximum(x, 1e-300)), 0.0) - np.log(np.maximum(rate, 1e-300))
+    return float((mask * (rate - x + np.where(x > 0, x * log, 0.0))).sum())
+
+
+def rms_of_rates(x: np.ndarray, rate: np.ndarray, mask: np.ndarray) -> float:
+    return float(np.sqrt(((mask * (rate - x)) ** 2).sum() / mask.sum()))
+
+
+def total_flows(graphs: dict[str, set[Edge]], rows: dict[str, dict[str, int]], x: np.ndarray, lengths: np.ndarray, mask: np.ndarray, poisson: bool = False, rounds: int = 200) -> tuple[np.ndarray, dict[str, list[tuple[list[str], float]]]]:
+    """Throughput of each segment, and the paths that carry it, of the flows from source+ to sink+ on each gene's graph that come nearest the
+    counts summed over samples. rows: a gene's segments and their rows; rows of mask 0 have no target."""
+    phi, paths = np.zeros(len(x)), {}
+    for gene, edges in sorted(graphs.items()):
+        own = rows[gene]
+        node_row = {n: own[n[:-1]] for e in edges for n in e if n[:-1] in own}
+        goal = {n: float(x[r]) for n, r in node_row.items() if mask[r]}
+        loss = (poisson_loss, poisson_slope) if poisson else (squared_loss, squared_slope)
+        flow, used = fit_flow(edges, "source+", "sink+", goal, {n: float(lengths[r]) for n, r in node_row.items()}, *loss, rounds=rounds)
+        for n, f in flow.items():
+            if n in node_row:
+                phi[node_row[n]] += f
+        carried: dict[Edge, float] = defaultdict(float)
+        for p, a in used:
+            for e in zip(p, p[1:], strict=False):
+                carried[e] += a
+        paths[gene] = decompose(carried, "source+", "sink+") if carried else []
+    return phi, paths
+
+
 def coverage_walk(edges: set[Edge], capacity: dict[str, float], source: str, sink: str) -> list[str]:
     """Maximum flow under node capacities, then from source on always along the largest flow."""
     arcs = {(n + "|in", n + "|out"): capacity.get(n, np.inf) for n in {x for e in edges for x in e}}
@@ -226,3 +307,8 @@ def normalised_flows(targets: DataFrame) -> DataFrame:
         return some({"gene": [pdf["gene"].iloc[0]] * len(flow), "node": list(flow), "flow": list(flow.values())})
 
     return given(targets.groupBy("gene").applyInPandas(run, targets.select("gene").schema.add("node", "string").add("flow", "double")))
+
+
+def widest_paths_of(flows: DataFrame, most: int, least: float) -> DataFrame:
+    """(gene, nth, path, amount): of flow_paths the `most` widest of each gene that carry more than least."""
+    return flow_paths(flows).where((F.col("amount") > least) & (F.col("nth") < most))

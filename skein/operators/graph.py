@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import node_name, reverse_node, unitig_of
@@ -170,3 +170,73 @@ def propagate_bins(edges: DataFrame, bins: DataFrame, lengths: DataFrame, levels
     votes = seen.join(bins, "unitig").join(lengths, "unitig").groupBy(F.col("start").alias("unitig"), "bin").agg(F.sum("len").alias("votes"))
     w = Window.partitionBy("unitig").orderBy(F.desc("votes"), "bin")
     return votes.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges of which both ends are among the nodes (gene, node)."""
+    at = lambda c: nodes.select("gene", F.col("node").alias(c)).distinct()
+    return edges.join(at("u"), ["gene", "u"], "left_semi").join(at("v"), ["gene", "v"], "left_semi")
+
+
+def strands(edges: DataFrame, unitigs: DataFrame) -> DataFrame:
+    """(gene, node): which of id+ and id- of the segments (gene, unitig) the graph holds."""
+    held = edges.select("gene", F.col("u").alias("node")).union(edges.select("gene", F.col("v").alias("node"))).distinct()
+    return held.withColumn("unitig", unitig_of(F.col("node"))).join(unitigs.select("gene", F.col("unitig").cast("string").alias("unitig")), ["gene", "unitig"], "left_semi").select("gene", "node")
+
+
+def common_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(gene, role, node): the nearest common descendant of the nodes (gene, node) as sink and their nearest common ancestor as source."""
+    sink = lowest_common_descendant(edges, nodes).select("gene", F.lit("sink").alias("role"), "node")
+    return sink.union(lowest_common_descendant(reversed_edges(edges), nodes).select("gene", F.lit("source").alias("role"), "node"))
+
+
+def chained(edges: DataFrame, order: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """(u, v) of all genes in one graph: behind each gene's sinks a connector, from there to the sources of the next. order: (gene, place), places
+    from 0 without gaps; sources and sinks: (gene, node). Nodes of a gene are told apart by 'gene/'."""
+    name = lambda c: F.concat_ws("/", F.col("gene").cast("string"), c)
+    connector = lambda c: F.concat(F.lit("connect_"), c.cast("string"), F.lit("+"))
+    own = edges.join(order.select("gene"), "gene", "left_semi").select(name(F.col("u")).alias("u"), name(F.col("v")).alias("v"))
+    most = order.agg((F.max("place") - 1).alias("most"))
+    out = sinks.join(order, "gene").join(F.broadcast(most)).where("place <= most").select(name(F.col("node")).alias("u"), connector(F.col("place")).alias("v"))
+    into = sources.join(order, "gene").where("place > 0").select(connector(F.col("place") - 1).alias("u"), name(F.col("node")).alias("v"))
+    return own.union(out).union(into).distinct()
+
+
+def flow_costs(through: DataFrame, slopes: DataFrame, scale: float = 1e5, least: float = 1e-9) -> DataFrame:
+    """Edges (gene, u, v, through) with cost: the slope (gene, node, slope) of the node whose flow they are, over the gene's largest, as
+    whole numbers up to scale; 0 for other edges."""
+    top = slopes.groupBy("gene").agg(F.greatest(F.max(F.abs("slope")), F.lit(least)).alias("top"))
+    cost = slopes.join(top, "gene").select("gene", F.col("node").alias("through"), (F.col("slope") * F.lit(scale) / F.col("top")).cast("long").alias("cost"))
+    return through.join(cost, ["gene", "through"], "left").withColumn("cost", F.coalesce("cost", F.lit(0).cast("long"))).select("gene", "u", "v", "through", "cost")
+
+
+def unscaled_cost(cost: Column, top: Column, scale: float = 1e5, unit: float = 1e6) -> Column:
+    """What a summed cost of whole numbers is in slopes and flows."""
+    return cost * top / F.lit(scale) / F.lit(unit)
+
+
+def with_shunt(flows: DataFrame, capacity: float) -> DataFrame:
+    """Edges (gene, u, v, flow, capacity, cost) with one from sink+ back to source+ in each gene, which makes every flow a circulation."""
+    back = flows.select("gene").distinct().select("gene", F.lit("sink+").alias("u"), F.lit("source+").alias("v"), F.lit(0.0).alias("flow"), F.lit(capacity).alias("capacity"), F.lit(0.0).alias("cost"))
+    return without_shunt(flows).unionByName(back)
+
+
+def without_shunt(flows: DataFrame) -> DataFrame:
+    return flows.where("not (u = 'sink+' and v = 'source+')")
+
+
+def throughput(flows: DataFrame) -> DataFrame:
+    """(gene, node, phi): the flow of the edge that carries all of a node's; flows: (gene, u, v, through, flow)."""
+    return flows.where("through is not null").groupBy("gene", F.col("through").alias("node")).agg(F.sum("flow").alias("phi"))
+
+
+def loss_change(flows: DataFrame, move: DataFrame, targets: DataFrame, step: float, poisson: bool = False, penalty: float = 0.0) -> DataFrame:
+    """(gene, change): how the loss of the targets (gene, node, x, len) changes if the flow (gene, u, v, through, flow) moves by step times (gene,
+    u, v, move), negative where flow is taken back; squared loss, or x against a Poisson rate; penalty for each unit of throughput."""
+    moved = flows.join(move, ["gene", "u", "v"], "left").where("through is not null").groupBy("gene", F.col("through").alias("node"))
+    moved = moved.agg(F.sum("flow").alias("old"), F.sum(F.greatest(F.col("flow") + F.lit(step) * F.coalesce("move", F.lit(0.0)), F.lit(0.0))).alias("new"))
+    t = targets.join(moved, ["gene", "node"])
+    was, now, x = F.col("len") * F.col("old"), F.col("len") * F.col("new"), F.col("x")
+    floor = lambda r: F.greatest(r, F.lit(1e-12))
+    change = (now - was) - x * F.ln(floor(now) / floor(was)) if poisson else 0.5 * ((x - now) ** 2 - (x - was) ** 2)
+    return t.groupBy("gene").agg(F.sum(change + F.lit(penalty) * (F.col("new") - F.col("old"))).alias("change"))

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df as a Parquet table under spark.checkpoint.dir, or a local folder where that is unset, as in tests."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path of this name under spark.checkpoint.dir; where that is unset, as in tests, under a local folder, on local masters only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="skein-")
         _OWN[spark.sparkContext.applicationId] = where
-    path = f"{where.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage: df as a Parquet table in the shared folder."""
+    path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -84,3 +84,51 @@ def multiplicative_step(w: DataFrame, h: DataFrame, x: DataFrame) -> DataFrame:
     quotient = on.join(fit, ["v", "s"]).select("v", "s", ratio(F.col("x"), F.col("fit")).alias("q"))
     up = quotient.join(w, "v").groupBy("k", "s").agg(F.sum(F.col("a") * F.col("q")).alias("num"), F.sum("a").alias("den"))
     return h.join(up, ["k", "s"]).select("k", "s", F.greatest(F.col("b") * ratio(F.col("num"), F.col("den")), F.lit(EPS)).alias("value"))
+
+
+def deviance(tau: Column, log_tau: Column, square_error: Column) -> Column:
+    """Half of tau E - ln tau."""
+    return 0.5 * tau * square_error - 0.5 * log_tau
+
+
+def gene_deviance(cells: DataFrame) -> DataFrame:
+    """(gene, mean_deviance): mean over segments of the mean over samples; cells: (gene, v, s, tau, log_tau, err2)."""
+    per = cells.groupBy("gene", "v").agg(F.avg(deviance(F.col("tau"), F.col("log_tau"), F.col("err2"))).alias("d"))
+    return per.groupBy("gene").agg(F.avg("d").alias("mean_deviance"))
+
+
+def expected_log_likelihood(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + score: half of (sum ln tau - n ln 2 pi) less half of sum tau err2 over cells with a mask of 1."""
+    on = cells.where("mask = 1")
+    return on.groupBy(*keys).agg((0.5 * (F.sum("log_tau") - F.count("*") * math.log(2 * math.pi)) - 0.5 * F.sum(F.col("tau") * F.col("err2"))).alias("score"))
+
+
+def shift_component(fit: DataFrame, phi: DataFrame, gamma: DataFrame, component: int, sign: int) -> DataFrame:
+    """(v, s, value) of fit plus (sign 1) or less (-1) phi (v, g, p) times gamma (g, s, y) of one component."""
+    p, y = phi.where(F.col("g") == component).select("v", "p"), gamma.where(F.col("g") == component).select("s", "y")
+    return fit.join(p, "v", "left").join(y, "s", "left").select("v", "s", (F.col("value") + F.lit(float(sign)) * F.coalesce(F.col("p") * F.col("y"), F.lit(0.0))).alias("value"))
+
+
+def frobenius(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """keys + frobenius: half of the summed squared (x - pred), cells with a mask of 1."""
+    return cells.where("mask = 1").groupBy(*keys).agg((0.5 * F.sum((F.col("x") - F.col("pred")) ** 2)).alias("frobenius"))
+
+
+def binarised(loads: DataFrame) -> DataFrame:
+    """(v, g, on): whether a load (v, g, value) is above half of its component's median."""
+    median = loads.groupBy("g").agg(F.median("value").alias("m"))
+    return loads.join(median, "g").select("v", "g", (F.col("value") > 0.5 * F.col("m")).alias("on"))
+
+
+def collapsed(loads: DataFrame, least: float = 1e-3) -> DataFrame:
+    """Loads of components whose sum is above least."""
+    return loads.join(loads.groupBy("g").agg(F.sum("value").alias("t")).where(F.col("t") > least).select("g"), "g", "left_semi")
+
+
+def flow_divergences(cells: DataFrame, keys: list[str], delta: float = 1e-9, precision: float = 1e-15) -> DataFrame:
+    """keys + (kl, rms) of counts x against the rate (phi + delta) len, cells (x, phi, len, mask)."""
+    rate = (F.col("phi") + delta) * F.col("len")
+    return cells.groupBy(*keys).agg(
+        F.sum(F.col("mask") * (rate - F.col("x") - F.col("x") * F.ln(rate) + F.col("x") * F.ln(F.col("x") + precision))).alias("kl"),
+        F.sqrt(F.sum((F.col("mask") * (rate - F.col("x"))) ** 2) / F.sum("mask")).alias("rms"),
+    )

@@ -159,13 +159,19 @@ def break_cycles(weights: dict[tuple[str, str], float]) -> dict[tuple[str, str],
     return left
 
 
-def superbubble(edges: set[tuple[str, str]], source: str) -> tuple[str, set[str]] | None:
-    """The end and the nodes of the superbubble that opens at source, if there is one: a region that is entered at source alone and left at
-    its end alone, without dead ends and cycles."""
+def neighbours(edges: Iterable[tuple[str, str]]) -> tuple[dict[str, set[str]], dict[str, set[str]]]:
+    """Where each node leads, and what leads to it."""
     ahead, parents = defaultdict(set), defaultdict(set)
     for u, v in edges:
         ahead[u].add(v)
         parents[v].add(u)
+    return ahead, parents
+
+
+def superbubble(edges: set[tuple[str, str]], source: str, near: tuple[dict[str, set[str]], dict[str, set[str]]] | None = None) -> tuple[str, set[str]] | None:
+    """The end and the nodes of the superbubble that opens at source, if there is one: a region that is entered at source alone and left at
+    its end alone, without dead ends and cycles. near: neighbours(edges), if at hand."""
+    ahead, parents = near or neighbours(edges)
     ready, seen, visited = [source], {source}, set()
     while ready:
         node = ready.pop()
@@ -189,8 +195,8 @@ def superbubble(edges: set[tuple[str, str]], source: str) -> tuple[str, set[str]
 
 def bubble_chain(edges: set[tuple[str, str]], start: str) -> list[tuple[str, set[str]]]:
     """Superbubbles one behind the other from start on."""
-    out, at, been = [], start, set()
-    while at not in been and (found := superbubble(edges, at)):
+    out, at, been, near = [], start, set(), neighbours(edges)
+    while at not in been and (found := superbubble(edges, at, near)):
         been.add(at)
         out.append(found)
         at = found[0]
@@ -211,9 +217,9 @@ def hops_from(edges: set[tuple[str, str]], start: str) -> dict[str, int]:
     return out
 
 
-def sources_and_sinks(edges: list[tuple[str, str, float]], lengths: dict[str, int], tips: dict[str, bool | None], isolated: set[str], stops: list[tuple[str, bool]], least: float) -> tuple[list[str], list[str]]:
+def sources_and_sinks(edges: list[tuple[str, str, float]], lengths: dict[str, int], tips: dict[str, bool | None], isolated: set[str], stops: list[tuple[str, bool]], least: float, dead: set[str] = frozenset()) -> tuple[list[str], list[str]]:
     """Oriented sources and sinks of one gene from stop codons. tips: each tip and the direction it is known to leave in; stops:
-    (segment, forward), a later one of a segment replacing an earlier. Where every segment has a stop, those are both. Else sinks are tips
+    (segment, forward), a later one of a segment replacing an earlier; dead: tips known to be dead ends, which are neither. Where every segment has a stop, those are both. Else sinks are tips
     with a stop (not isolated, or longer than least) or reached from one, '+' before '-'; sources the other tips that reach a
     sink; further tips that a source reaches are sinks; isolated long tips are both."""
     name = lambda u, f: u + ("+" if f else "-")
@@ -221,6 +227,7 @@ def sources_and_sinks(edges: list[tuple[str, str, float]], lengths: dict[str, in
     if len(known) == len(lengths):
         both = [name(u, f) for u, f in known.items()]
         return both, list(both)
+    tips = {u: f for u, f in tips.items() if u not in dead}
     reach: dict[str, dict[str, float]] = {}
 
     def reached(a: str, b: str) -> bool:
@@ -257,6 +264,86 @@ def sources_and_sinks(edges: list[tuple[str, str, float]], lengths: dict[str, in
     return sources, sinks
 
 
+def tip_distances(edges: list[tuple[str, str, float]], tips: list[str]) -> dict[str, dict[str, float]]:
+    """Least weights between the oriented nodes of tips, from each that is in the graph to those that it leads to, itself included."""
+    nodes, own = {n for u, v, _ in edges for n in (u, v)}, {u + d for u in tips for d in "+-"}
+    return {a: {b: d for b, d in shortest_distances(edges, a).items() if b in own} for a in sorted(own & nodes)}
+
+
+def _farthest(options: list[tuple[str, list[float]]]) -> tuple[float, str]:
+    """The node of the largest distance, the first of equal ones; each with the distances to those that count."""
+    best = [(max([0.0, *d]), n) for n, d in options]
+    return best[0] if best[0][0] >= best[1][0] else best[1]
+
+
+def ends_by_distance(edges: list[tuple[str, str, float]], lengths: dict[str, int], tips: list[str], isolated: set[str], share: float, least: int = 200) -> tuple[list[str], list[str]]:
+    """Sources and sinks without stop codons: the two tips farthest apart, then each other tip on the side that it is farther from, if that
+    is over share of the largest distance. Isolated segments longer than least are both; a single segment is both."""
+    if len(lengths) == 1:
+        return [next(iter(lengths)) + "+"], [next(iter(lengths)) + "+"]
+    apart = tip_distances(edges, tips)
+    pairs = [(d, a, b) for a, own in apart.items() for b, d in own.items() if d > 0]
+    sources, sinks = [], []
+    if pairs:
+        top, first, last = min(pairs, key=lambda x: (-x[0], x[1], x[2]))
+        sources, sinks = [first], [last]
+        for u in (u for u in tips if u not in (first[:-1], last[:-1])):
+            ahead, source = _farthest([(u + d, [apart.get(u + d, {}).get(s, 0.0) for s in sinks]) for d in "+-"])
+            back, sink = _farthest([(u + d, [apart.get(s, {}).get(u + d, 0.0) for s in sources]) for d in "+-"])
+            if ahead > back:
+                if ahead > share * top:
+                    sources.append(source)
+            elif back > share * top:
+                sinks.append(sink)
+    both = [u + "+" for u in isolated if lengths[u] > least]
+    return sources + both, sinks + both
+
+
+def ends_from_first(edges: list[tuple[str, str, float]], tips: list[str]) -> tuple[list[str], list[str]]:
+    """Sources and sinks without stop codons and thresholds: the first tip is a source, the nearest one that it leads to a sink, and each other
+    tip goes to the side that it is farther from."""
+    if not tips:
+        return [], []
+    apart, leaves = tip_distances(edges, tips), {u for u, _, _ in edges}
+    first = tips[0] + ("+" if tips[0] + "+" in leaves else "-")
+    sources, sinks, rest = [first], [], list(tips[1:])
+    near = sorted((d, b) for b, d in apart.get(first, {}).items() if b[:-1] in rest)
+    if near:
+        sinks.append(near[0][1])
+        rest.remove(near[0][1][:-1])
+    for u in rest:
+        back, sink = _farthest([(u + d, [apart.get(s, {}).get(u + d, 0.0) for s in sources]) for d in "-+"])
+        ahead, source = _farthest([(u + d, [apart.get(u + d, {}).get(s, 0.0) for s in sinks]) for d in "-+"])
+        (sinks if back > ahead else sources).append(sink if back > ahead else source)
+    return sources, sinks
+
+
+def extended(path: list[str], position: int, edges: set[tuple[str, str]], lengths: dict[str, int], overlap: int, ahead: bool) -> tuple[list[str], int]:
+    """The path and its end (or start) position, carried on to the next segment while the position lies in the overlap and only one
+    segment follows (or precedes)."""
+    near: dict[str, list[str]] = defaultdict(list)
+    for u, v in sorted(edges):
+        near[u if ahead else v].append(v if ahead else u)
+    path = list(path)
+    while True:
+        node = path[-1] if ahead else path[0]
+        inside = position > lengths[node[:-1]] - overlap if ahead else position < overlap
+        if not inside or len(near[node]) != 1 or near[node][0] in path:
+            return path, position
+        nxt = near[node][0]
+        position += overlap - lengths[node[:-1]] if ahead else lengths[nxt[:-1]] - overlap
+        path.insert(len(path) if ahead else 0, nxt)
+
+
+def bubbles_around(edges: set[tuple[str, str]], node: str) -> set[str]:
+    """All nodes of the superbubble chains that leave node ahead and, on the reversed graph, backwards."""
+    out = {node}
+    for own in (edges, {(v, u) for u, v in edges}):
+        for _, inside in bubble_chain(own, node):
+            out |= inside
+    return out
+
+
 # ---- per gene, as DataFrame operators ----
 
 
@@ -343,7 +430,37 @@ def superbubbles(edges: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = set(zip(pdf["u"], pdf["v"], strict=True))
-        found = [(s, *b) for s in sorted({u for u, _ in own}) if (b := superbubble(own, s)) and len(b[1]) > 3]
+        near = neighbours(own)
+        found = [(s, *b) for s in sorted({u for u, _ in own}) if (b := superbubble(own, s, near)) and len(b[1]) > 3]
         return some({"gene": [pdf["gene"].iloc[0]] * len(found), "source": [f[0] for f in found], "sink": [f[1] for f in found], "nodes": [sorted(f[2]) for f in found]})
 
     return given(edges.groupBy("gene").applyInPandas(run, edges.select("gene").schema.add("source", "string").add("sink", "string").add("nodes", T.ArrayType(T.StringType()))))
+
+
+def all_distances(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """(gene, start, node, distance): least summed weights between the tips (gene, node) of edges (gene, u, v, weight)."""
+    rows = edges.select("gene", "u", "v", "weight").unionByName(tips.select("gene", "node").withColumnRenamed("node", "u"), allowMissingColumns=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links, own = pdf[pdf["v"].notna()], set(pdf[pdf["v"].isna()]["u"])
+        edge = list(zip(links["u"], links["v"], links["weight"], strict=True))
+        found = [(a, b, d) for a in sorted(own) for b, d in shortest_distances(edge, a).items() if b in own]
+        return some({"gene": [pdf["gene"].iloc[0]] * len(found), "start": [a for a, _, _ in found], "node": [b for _, b, _ in found], "distance": [float(d) for _, _, d in found]})
+
+    return given(rows.groupBy("gene").applyInPandas(run, edges.select("gene").schema.add("start", "string").add("node", "string").add("distance", "double")))
+
+
+def distance_ends(edges: DataFrame, tips: DataFrame, share: float) -> DataFrame:
+    """(gene, role, node): ends_by_distance (share >= 0) or ends_from_first (share < 0) of each gene; tips: (gene, unitig, len, isolated)."""
+    rows = edges.select("gene", "u", "v", "weight").unionByName(tips.select("gene", "unitig", "len", "isolated"), allowMissingColumns=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links, ends = pdf[pdf["v"].notna()], pdf[pdf["unitig"].notna()].sort_values("unitig")
+        edge, names = list(zip(links["u"], links["v"], links["weight"], strict=True)), list(ends["unitig"])
+        length = {n[:-1]: 0 for u, v, _ in edge for n in (u, v)} | dict(zip(ends["unitig"], ends["len"], strict=True))
+        alone = [u for u, i in zip(ends["unitig"], ends["isolated"], strict=True) if i]
+        sources, sinks = ends_by_distance(edge, length, names, alone, share) if share >= 0 else ends_from_first(edge, [u for u in names if u not in alone])
+        found = [("source", x) for x in sources] + [("sink", x) for x in sinks]
+        return some({"gene": [pdf["gene"].iloc[0]] * len(found), "role": [r for r, _ in found], "node": [x for _, x in found]})
+
+    return given(rows.groupBy("gene").applyInPandas(run, edges.select("gene").schema.add("role", "string").add("node", "string")))

@@ -357,7 +357,11 @@ def reachable_core(spark, d):
     return graph.core(e, e.where("u like '%\\_1'").select("gene", F.col("u").alias("node")), e.where("v like 'purchase%\\_5'").select("gene", F.col("v").alias("node")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BIGRAPH}, both_ AS (SELECT gene, u, v FROM e UNION SELECT gene, v, u FROM e),
+r(gene, node, component) USING KEY (gene, node) AS (
+  SELECT gene, u, least(u, min(v)) FROM both_ GROUP BY 1, 2
+  UNION SELECT b.gene, b.u, min(x.component) FROM r x JOIN both_ b ON b.gene = x.gene AND b.v = x.node JOIN recurring.r o ON o.gene = b.gene AND o.node = b.u WHERE x.component < o.component GROUP BY 1, 2
+) SELECT gene, node, component FROM r""")
 def components(spark, d):
     return graph.components(_edges(spark, d))
 
@@ -402,7 +406,10 @@ def connecting_nodes(spark, d):
     return graph.with_neighbours(e, nodes, nodes.where("node like 'view%'"))
 
 
-@query()
+@query(f"""WITH {LINKS}, b AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), bins AS (SELECT p_partkey AS unitig, p_brand AS bin FROM part WHERE p_retailprice % 7 < 6),
+s AS (SELECT p_partkey AS start, p_partkey AS unitig FROM part WHERE NOT p_retailprice % 7 < 6), r1 AS (SELECT start, b.b AS unitig FROM s JOIN b ON a = unitig UNION SELECT * FROM s), r2 AS (SELECT start, b.b AS unitig FROM r1 JOIN b ON a = unitig UNION SELECT * FROM r1),
+v AS (SELECT start AS unitig, bin, sum(p_size) AS votes FROM r2 JOIN bins USING (unitig) JOIN part ON p_partkey = unitig GROUP BY 1, 2)
+SELECT unitig, bin, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY unitig ORDER BY votes DESC, bin) AS q FROM v) WHERE q = 1""")
 def bin_propagate(spark, d):
     e = domain.links(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     part = table(spark, d, "part")
@@ -503,9 +510,16 @@ def path_samples(spark, d):
     return pathmodel.path_samples(domain.layered(spark, d, None), 100, 23724839)
 
 
-@query()
+@query("""SELECT l_orderkey % 8 AS gene, 's' || l_orderkey AS source, 't' || l_orderkey AS sink,
+       list_sort(list_concat(list('l' || l_orderkey || '_' || l_linenumber), list_value('s' || l_orderkey, 't' || l_orderkey))) AS nodes
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey HAVING count(*) > 1""")
 def superbubbles(spark, d):
-    return pathmodel.superbubbles(domain.layered(spark, d, None).select("gene", "u", "v"))
+    """Each order's lines side by side between two ends."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    order, line = F.col("l_orderkey").cast("string"), F.concat(F.lit("l"), "l_orderkey", F.lit("_"), "l_linenumber")
+    gene = (F.col("l_orderkey") % 8).alias("gene")
+    e = li.select(gene, F.concat(F.lit("s"), order).alias("u"), line.alias("v")).union(li.select(gene, line, F.concat(F.lit("t"), order)))
+    return pathmodel.superbubbles(e)
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import walk_sequences
-from skein.operators import coverage, graph, outliers
+from skein.operators import coverage, factorgraph, graph, outliers
 from skein.operators.pathmodel import break_cycles, given, some, sources_and_sinks
 from skein.operators.strains import Gene, StrainModel
 from skein.sources import readers, writers
 
 
+log = logging.getLogger("skein")
+
+
 @dataclass
 class Config:
     """Options of a run; the names follow the command line."""
@@ -48,13 +52,16 @@ class Config:
     gene_deviance: bool = True
     relax: bool = True
     elbow: bool = True
+    init_type: str = "bnmf"
+    most_width: int = 16
 
 
 def scan(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
     unitigs, links = readers.gfa(spark, f"{cfg.graph_dir}/*.gfa")
     cov = readers.coverage(spark, f"{cfg.graph_dir}/*.tsv")
     stop = readers.stops(spark, f"{cfg.graph_dir}/*.stops")
-    out = {"unitigs": unitigs, "links": links, "coverage": cov.where("gene <> ''"), "stops": stop, "lengths": readers.gene_lengths(spark, cfg.lengths)}
+    dead = readers.dead_ends(spark, f"{cfg.graph_dir}/*.deadends") if readers.exists(spark, f"{cfg.graph_dir}/*.deadends") else spark.createDataFrame([], "gene string, unitig string")
+    out = {"dead": dead, "unitigs": unitigs, "links": links, "coverage": cov.where("gene <> ''"), "stops": stop, "lengths": readers.gene_lengths(spark, cfg.lengths)}
     if cfg.genes:
         chosen = readers.names(spark, cfg.genes)
         out = {k: df.join(chosen, "gene", "left_semi") for k, df in out.items()}
@@ -74,6 +81,7 @@ def ends(tables: dict[str, DataFrame], overlap: int) -> DataFrame:
     n = graph.tips(links, unitigs).join(unitigs.select("gene", "unitig", "len"), ["gene", "unitig"])
     n = n.select("gene", F.when(F.col("tip"), F.when(F.col("isolated"), "i").otherwise("t")).otherwise("n").alias("t"), F.col("unitig").alias("a"), F.col("leaves_forward").cast("string").alias("b"), F.col("len").cast("double").alias("w"))
     s = tables["stops"].select("gene", F.lit("s").alias("t"), F.col("unitig").alias("a"), F.col("forward").cast("string").alias("b"), F.col("nth").cast("double").alias("w"))
+    dead = tables["dead"].select("gene", F.lit("d").alias("t"), F.col("unitig").alias("a"), none.cast("string").alias("b"), none.cast("double").alias("w"))
     least = tables["lengths"].select("gene", F.lit("l").alias("t"), none.cast("string").alias("a"), none.cast("string").alias("b"), (F.col("aa_len") * 3).alias("w"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -84,11 +92,11 @@ def ends(tables: dict[str, DataFrame], overlap: int) -> DataFrame:
         stop = [(a, b == "true") for a, b, _ in sorted(zip(get("s")["a"], get("s")["b"], get("s")["w"], strict=True), key=lambda x: x[2])]
         ends_of = {a: known.get(b) for k in "ti" for a, b in zip(get(k)["a"], get(k)["b"], strict=True)}
         limit = float(get("l")["w"].iloc[0]) if len(get("l")) else float("inf")
-        sources, sinks = sources_and_sinks(list(zip(get("e")["a"], get("e")["b"], get("e")["w"], strict=True)), dict(zip(nodes["a"], nodes["w"], strict=True)), ends_of, set(get("i")["a"]), stop, limit)
+        sources, sinks = sources_and_sinks(list(zip(get("e")["a"], get("e")["b"], get("e")["w"], strict=True)), dict(zip(nodes["a"], nodes["w"], strict=True)), ends_of, set(get("i")["a"]), stop, limit, set(get("d")["a"]))
         rows = [("source", x) for x in dict.fromkeys(sources)] + [("sink", x) for x in dict.fromkeys(sinks)] if sources and sinks else []
         return some({"gene": [pdf["gene"].iloc[0]] * len(rows), "role": [r for r, _ in rows], "node": [x for _, x in rows]})
 
-    return given(e.union(n).union(s).union(least).groupBy("gene").applyInPandas(run, ENDS))
+    return given(e.union(n).union(s).union(dead).union(least).groupBy("gene").applyInPandas(run, ENDS))
 
 
 def prepare(tables: dict[str, DataFrame], cfg: Config) -> dict[str, DataFrame]:
@@ -98,6 +106,8 @@ def prepare(tables: dict[str, DataFrame], cfg: Config) -> dict[str, DataFrame]:
     kept = coverage.select_samples(tables["coverage"].join(role, "gene", "left_semi"), coverage.read_factor(cfg.read_length, cfg.k), cfg.min_cov, cfg.min_frac_cov).where("kept")
     source, sink = role.where("role = 'source'"), role.where("role = 'sink'")
     edges = graph.rooted(graph.both_strands(tables["links"]), source, sink)
+    wide = factorgraph.graph_widths(edges).where(F.col("width") > cfg.most_width).select("gene")
+    edges = edges.join(wide, "gene", "left_anti")
     if cfg.filter_genes:
         at_ends = role.select("gene", "role", F.regexp_replace("node", "[+-]$", "").alias("unitig")).distinct()
         value = coverage.role_coverage(tables["coverage"], at_ends).withColumnRenamed("end_cov", "value")
@@ -133,13 +143,24 @@ def _build(edges: pd.DataFrame, x: pd.DataFrame, degenerate: set[tuple[str, str]
     return model, wide.index, samples
 
 
+def initialise(model: StrainModel, cfg: Config, restarts: int) -> None:
+    """bnmf: variational factors made feasible flows; flow and flownmf: the widest paths of one flow, with factorised intensities; nmf: plain factors."""
+    if cfg.init_type in ("flow", "flownmf"):
+        model.initialise_by_flow(cfg.read_length)
+    elif cfg.init_type == "nmf":
+        model.initialise_by_factors(restarts)
+    else:
+        model.initialise(restarts)
+
+
 def _least(model: StrainModel, cfg: Config) -> float:
     total = float((model.x / np.maximum(model.len[:, None], 1e-12)).mean(0).sum())
     return max(1.5, cfg.frac_cov * total * cfg.read_length) / cfg.read_length
 
 
 def choose_strains(spark: SparkSession, edges: pd.DataFrame, x: pd.DataFrame, degenerate: set, cfg: Config, most: int) -> DataFrame:
-    """(n_strains, fold, surviving, score): every number of strains on every fold, each a task of its own."""
+    """(n_strains, fold, surviving, elbo, err, ll, score, ll_total): every number of strains on every fold, each a task of its own; the
+    squared error, the expected log-likelihood and the best paths' score (score) are those of the cells left out, ll_total that of all."""
     sent = spark.sparkContext.broadcast((edges, x, degenerate))  # one model's matrix, small by nature
     grid = spark.range(1, most + 1).withColumnRenamed("id", "n_strains").crossJoin(spark.range(cfg.folds).withColumnRenamed("id", "fold"))
     grid = grid.repartition(most * cfg.folds, "n_strains", "fold")
@@ -149,11 +170,17 @@ def choose_strains(spark: SparkSession, edges: pd.DataFrame, x: pd.DataFrame, de
         model, _, _ = _build(*sent.value, cfg, n, cfg.seed + fold)
         of = np.random.default_rng(cfg.seed).integers(0, cfg.folds, model.x.shape)
         model.mask = (of != fold).astype(float)
-        model.initialise(1)
-        model.update(cfg.iterations, _least(model, cfg), cfg.relax)
-        return pd.DataFrame({"n_strains": [n], "fold": [fold], "surviving": [model.g], "score": [model.map_score((of == fold).astype(float), cfg.relax)]})
+        initialise(model, cfg, 1)
+        trace = model.update(cfg.iterations, _least(model, cfg), cfg.relax)
+        out = (of == fold).astype(float)
+        fit = model.len[:, None] * model.theta[:, None] * model.fit()
+        seen, model.mask = model.mask, out
+        ll, model.mask = model.log_likelihood(), np.ones_like(out)
+        total, model.mask = model.log_likelihood(), seen
+        err = float((out * (model.x - fit) ** 2).sum() / max(1.0, out.sum()))
+        return pd.DataFrame({"n_strains": [n], "fold": [fold], "surviving": [model.g], "elbo": [trace[-1]], "err": [err], "ll": [ll], "score": [model.map_score(out, cfg.relax)], "ll_total": [total]})
 
-    return grid.groupBy("n_strains", "fold").applyInPandas(run, "n_strains long, fold long, surviving int, score double")
+    return grid.groupBy("n_strains", "fold").applyInPandas(run, "n_strains long, fold long, surviving int, elbo double, err double, ll double, score double, ll_total double")
 
 
 def outputs(spark: SparkSession, model: StrainModel, index: pd.MultiIndex, samples: list, tables: dict[str, DataFrame], cfg: Config) -> dict[str, DataFrame]:
@@ -198,33 +225,54 @@ def run(spark: SparkSession, cfg: Config) -> tuple[StrainModel, dict[str, DataFr
         raise ValueError("no gene with sources, sinks and coverage, or no sample with enough of it")
     model, index, samples = _build(edges, x, degenerate, cfg, cfg.strains, cfg.seed)
     for _ in range(cfg.gene_rounds if cfg.filter_genes else 0):
-        model.initialise(1)
+        initialise(model, cfg, 1)
         model.update(2 * cfg.iterations, _least(model, cfg))
-        scores = model.gene_scores()
-        errors = spark.createDataFrame([(g, s[0]) for g, s in scores.items()], "gene string, error double")
+        scores = model.gene_deviance() if cfg.gene_deviance else {g: s[0] for g, s in model.gene_scores().items()}
+        errors = spark.createDataFrame(list(scores.items()), "gene string, error double")
         gone = {r["gene"] for r in outliers.filter_genes(errors).where("not kept").collect()}
         if not gone or len(gone) == len(scores):
             break
         edges, x = edges[~edges["gene"].isin(gone)], x[~x["gene"].isin(gone)]
         model, index, samples = _build(edges, x, degenerate, cfg, cfg.strains, cfg.seed)
-    model.initialise(cfg.restarts)
+    log.info("%d genes, %d samples, %d strains to begin with", len(model.genes), len(samples), model.g)
+    initialise(model, cfg, cfg.restarts)
     model.update(cfg.iterations, _least(model, cfg))
     if cfg.relax:
         model.update(cfg.iterations, _least(model, cfg), True)
     model.update(cfg.iterations, _least(model, cfg), cfg.relax, cfg.uncertain)
+    scores = None
     if cfg.elbow and model.g >= 4 and len(samples) >= 5:
-        scores = choose_strains(spark, edges, x, degenerate, cfg, model.g + 1)
+        scores = graph.settle(choose_strains(spark, edges, x, degenerate, cfg, model.g + 1))
         best = scores.groupBy("surviving").agg(F.avg("score").alias("score")).orderBy(F.desc("score"), "surviving").first()["surviving"]
         if best != model.g:
             model, index, samples = _build(edges, x, degenerate, cfg, best, cfg.seed)
-            model.initialise(cfg.restarts)
+            initialise(model, cfg, cfg.restarts)
             model.update(cfg.iterations, _least(model, cfg), cfg.relax)
     out = outputs(spark, model, index, samples, tables, cfg)
     if cfg.stub:
         writers.fit(out, cfg.stub)
+        if scores is not None:
+            by = scores.drop("n_strains").withColumnRenamed("surviving", "n_strains").withColumnRenamed("score", "ll_max")
+            writers.fold_summary(by.select("n_strains", "fold", "elbo", "err", "ll", "ll_max", "ll_total"), f"{cfg.stub}CV.csv")
+        long = lambda m: spark.createDataFrame([(g, s, float(m[g, s])) for g in range(m.shape[0]) for s in range(m.shape[1])], "g int, s int, value double")
+        writers.posterior_parameters(long(model.gamma_mu), long(model.gamma_tau), cfg.stub)
+        odds = [(g.name, n, float(np.exp(np.clip(model.odds[g.rows[n[:-1]], 0], -500, 500)))) for g in model.genes for n in g.dag.names if n[:-1] in g.rows]
+        links = spark.createDataFrame([(g.name, u, v) for g in model.genes for u, v in g.edges], "gene string, u string, v string")
+        writers.factor_graphs(links, spark.createDataFrame(odds, "gene string, node string, weight double"), f"{cfg.stub}factors")
+        writers.summary(spark, [f"{model.g} strains over {len(model.genes)} genes and {len(samples)} samples"], f"{cfg.stub}summary.txt")
+    log.info("%d strains", model.g)
     return model, out
 
 
+def logged(path: str, level: int = logging.INFO) -> logging.Logger:
+    """The run's log, to a file of the driver as well."""
+    handler = logging.FileHandler(path)
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.setLevel(level)
+    log.addHandler(handler)
+    return log
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Resolve strains on segment graphs")
     p.add_argument("graph_dir")
@@ -240,11 +288,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--bias_type", choices=["unitig", "gene"], default="unitig")
     p.add_argument("--tau_type", choices=["fixed", "log", "empirical", "auto", "poisson"], default="auto")
     p.add_argument("--smoother", choices=["isotonic", "lowess", "quadratic"], default="isotonic")
+    p.add_argument("--init_type", choices=["bnmf", "flow", "flownmf", "nmf"], default="bnmf")
     p.add_argument("--ard2", dest="squares", action="store_true")
     for flag, name in (("--no_ard", "relevance"), ("--no_noise", "noise"), ("--nobias", "bias"), ("--nofilter", "filter_genes"), ("--norelax", "relax"), ("--norun_elbow", "elbow"), ("--nogenedev", "gene_deviance")):
         p.add_argument(flag, dest=name, action="store_false")
     cfg = Config(**vars(p.parse_args(argv)))
     spark = SparkSession.builder.appName("skein").getOrCreate()
+    if cfg.stub and "://" not in cfg.stub:
+        logged(f"{cfg.stub}run.log")
     model, _ = run(spark, cfg)
     print(f"{model.g} strains over {len(model.genes)} genes and {model.x.shape[1]} samples")
 

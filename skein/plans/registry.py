@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue
+from . import catalogue, flows, round_trips  # noqa: F401
 
 QUERIES = catalogue.QUERIES
 ORACLES = catalogue.ORACLES

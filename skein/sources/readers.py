@@ -15,6 +15,13 @@ def gene_of(path: Column) -> Column:
     return F.when(found == "", F.raise_error(F.concat(F.lit("no gene in the file name "), path)).cast("string")).otherwise(found)
 
 
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether any file matches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return bool(found)
+
+
 def _lines(spark: SparkSession, path: str, named: bool = True) -> DataFrame:
     file = F.col("_metadata.file_path")
     return spark.read.text(path).select((gene_of(file) if named else F.lit("")).alias("gene"), F.split("value", "\t").alias("f"), "value")
@@ -129,10 +136,16 @@ def contig_paths(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bins(spark: SparkSession, path: str) -> DataFrame:
-    """(id, bin) of a CSV with a header: the first and the last column."""
+    """(id, bin) of CSV files, each with a header: the first and the last column. Headers are told by a last column that is no number."""
     f = F.split("value", ",")
-    rows = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    return rows.where("n > 0").select(f[0].alias("id"), F.element_at(f, -1).cast("int").alias("bin"))
+    return spark.read.text(path).select(f[0].alias("id"), F.trim(F.element_at(f, -1)).try_cast("int").alias("bin")).where("bin is not null")
+
+
+def overlap_of(spark: SparkSession, path: str) -> DataFrame:
+    """(gene, k): the k that a GFA header line names in its tag kk, for files that have one."""
+    lines = _lines(spark, path).where(F.get("f", F.lit(0)) == "H")
+    k = F.regexp_extract("value", r"kk:i:(\d+)", 1)
+    return lines.where(k != "").groupBy("gene").agg(F.max(k.cast("int")).alias("k"))
 
 
 def gene_best_hits(spark: SparkSession, path: str) -> DataFrame:
