@@ -117,7 +117,7 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
         return round(share, 4)
     best = None
-    for f in rng.choice(x.shape[1], max(1, int(np.sqrt(x.shape[1]))) + 1, replace=False):
+    for f in rng.choice(x.shape[1], min(x.shape[1], max(1, int(np.sqrt(x.shape[1]))) + 1), replace=False):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1])[:: max(1, len(values) // 16)] / 2:
             left = x[:, f] <= cut

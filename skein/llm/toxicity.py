@@ -73,7 +73,7 @@ class CumulativeLink:
 
 def fit(rows: list[tuple[int, np.ndarray]], l2: float = 0.02, steps: int = 1500) -> CumulativeLink:
     """Fit to (grade, sorted distinct word hashes). Words take part whose share in some upper range of grades exceeds chance
-    by a Chernoff bound, at a false discovery rate of a tenth over all words tried; the fit is full-batch gradient descent with an L2 penalty."""
+    by a Chernoff bound, at a false discovery rate of a tenth over all words tried; the fit is full-batch gradient descent, its steps fading out, with an L2 penalty."""
     y = np.array([g for g, _ in rows], np.int64)
     grades = np.unique(y)
     if len(grades) < 2:
@@ -109,7 +109,7 @@ def fit(rows: list[tuple[int, np.ndarray]], l2: float = 0.02, steps: int = 1500)
         g_w = (np.bincount(col, weights=g_score[doc], minlength=d) / len(rows) + l2 * w / len(rows)) if d else np.zeros(0)
         g = np.concatenate((g_w, g_theta))
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-10)
+        move = 0.05 * (1 + np.cos(np.pi * step / steps)) * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-10)
         w = w - move[:d]
         theta = np.maximum.accumulate(theta - move[d:] + 1e-9 * np.arange(len(theta)))
         model.weights, model.theta = w, theta
