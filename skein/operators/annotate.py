@@ -11,6 +11,7 @@ from skein.functions.columns import mean_color
 from skein.functions.sequence import unitig_of
 
 from . import graph, ranking
+from .iteration import ranked
 
 GREY = "D3D3D3"
 
@@ -51,7 +52,7 @@ def segment_components(links: DataFrame) -> DataFrame:
     e = links.select(F.lit(0).alias("gene"), F.col("src").cast("string").alias("u"), F.col("dst").cast("string").alias("v"))
     label = graph.components(e).select(F.col("node").alias("unitig"), "component")
     sizes = label.groupBy("component").agg(F.count("*").alias("size"))
-    return label.join(sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "component"))), "component").select("unitig", "component", "size", "rank")
+    return label.join(ranked(sizes, F.desc("size"), F.asc("component")), "component").select("unitig", "component", "size", "rank")
 
 
 def contig_bins(paths: DataFrame, bins: DataFrame) -> DataFrame:

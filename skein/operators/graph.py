@@ -21,7 +21,7 @@ def both_strands(links: DataFrame) -> DataFrame:
 def bigraph(links: DataFrame, unitigs: DataFrame, overlap: int) -> DataFrame:
     """(gene, u, v, weight, covweight): weight is the letters that u adds, plus all of v where v leads nowhere; covweight the same
     times the segments' summed coverage. unitigs: (gene, unitig, len, cov)."""
-    edges = both_strands(links)
+    edges = settle(both_strands(links))
     ends = edges.select("gene", F.col("v").alias("n")).distinct().join(edges.select("gene", F.col("u").alias("n")).distinct(), ["gene", "n"], "left_anti")
     seg = lambda s: unitigs.select("gene", F.col("unitig").cast("string").alias(f"{s}_id"), F.col("len").alias(f"{s}_len"), F.col("cov").alias(f"{s}_cov"))
     e = edges.withColumn("u_id", unitig_of(F.col("u"))).withColumn("v_id", unitig_of(F.col("v"))).join(seg("u"), ["gene", "u_id"]).join(seg("v"), ["gene", "v_id"])

@@ -1,4 +1,4 @@
-"""Tables between rounds of iterative operators, kept in the folder that driver and executors share."""
+"""Tables between rounds of iterative operators, kept in the folder that driver and executors share, and ranks over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -27,3 +28,13 @@ def settle(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """df with the place of each row in this order, from 1: range partitions are sorted and numbered side by side, and their sizes, one row each, summed."""
+    sort = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(sort.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    place = F.col("_before") + (F.col("_id") - F.shiftleft("_part", 33)) + 1
+    return rows.join(F.broadcast(before), "_part").withColumn(name, place).drop("_id", "_part", "_before")

@@ -332,9 +332,10 @@ SELECT e.gene, u, v, CAST(a.len - 1 + CASE WHEN o.n IS NULL THEN b.len ELSE 0 EN
 FROM e JOIN seg a ON a.id = substr(u, 1, length(u) - 1) JOIN seg b ON b.id = substr(v, 1, length(v) - 1) LEFT JOIN (SELECT DISTINCT gene, u AS n FROM e) o ON o.gene = e.gene AND o.n = e.v""")
 def bigraph_edges(spark, d):
     total = domain.coverage(spark, d).groupBy("unitig").agg(F.sum("cov").alias("cov"))
-    genes = domain.links(spark, d).select("gene").distinct()
-    seg = domain.unitigs(spark, d).drop("gene").join(total, "unitig", "left").withColumn("cov", F.coalesce("cov", F.lit(0.0))).crossJoin(F.broadcast(genes))  # five genes share the parts
-    return graph.bigraph(domain.links(spark, d), seg, 1)
+    links = graph.settle(domain.links(spark, d))
+    linked = links.select("gene", F.col("src").alias("unitig")).union(links.select("gene", "dst")).distinct()
+    seg = linked.join(domain.unitigs(spark, d).drop("gene"), "unitig").join(total, "unitig", "left").withColumn("cov", F.coalesce("cov", F.lit(0.0)))
+    return graph.bigraph(links, seg, 1)
 
 
 @query(f"""WITH {LINKS}, s AS (SELECT src AS unitig, src_fwd AS f FROM links UNION ALL SELECT dst, NOT dst_fwd FROM links), k AS (SELECT unitig, min(f) AS lo, max(f) AS hi FROM s GROUP BY 1)
@@ -363,7 +364,7 @@ r(gene, node, component) USING KEY (gene, node) AS (
   UNION SELECT b.gene, b.u, min(x.component) FROM r x JOIN both_ b ON b.gene = x.gene AND b.v = x.node JOIN recurring.r o ON o.gene = b.gene AND o.node = b.u WHERE x.component < o.component GROUP BY 1, 2
 ) SELECT gene, node, component FROM r""")
 def components(spark, d):
-    return graph.components(_edges(spark, d))
+    return graph.components(graph.settle(_edges(spark, d)))
 
 
 @query(f"""WITH RECURSIVE {LAYERED}, s AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_1'), r AS (SELECT gene, node AS start, node, 0 AS hops FROM s UNION SELECT r.gene, start, v, hops + 1 FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node),

@@ -66,15 +66,25 @@ def haplotype_paths(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("h")[0].alias("gene"), F.col("h")[1].alias("strain"), "pos", F.regexp_replace("node", "[+-]$", "").alias("unitig"), (F.right("node", F.lit(1)) == "+").alias("forward"))
 
 
+#: Splits whose sizes are broadcast, about 100 bytes each.
+MOST_SPLITS = 500_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, line): lines numbered from 0 within their file. Files are read in splits; a split's lines are numbered by their places in it
+    and by the sizes of the splits before, one row each."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("file", "at").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    splits = splits.withColumn("before", F.sum("size").over(Window.partitionBy("file").orderBy("at")) - F.col("size")).drop("size")
+    splits = F.broadcast(splits) if splits.count() <= MOST_SPLITS else splits
+    return rows.join(splits, ["file", "at"]).select("file", (F.col("id") - F.col("first") + F.col("before")).alias("n"), F.regexp_replace("line", "\r$", "").alias("line"))
+
+
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read, seq) of four-line records. One task reads a file whole, as compressed files can't be split; lines are numbered within it."""
-    if path.endswith(".gz"):
-        rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
-        numbered = rows.withColumn("n", F.col("id") - F.min("id").over(Window.partitionBy("file")))
-    else:
-        rows = spark.read.text(path, wholetext=True)
-        numbered = rows.select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"), F.col("_metadata.file_name").alias("file"))
-    return numbered.where("n % 4 = 1").select(F.concat_ws(":", "file", ((F.col("n") - 1) / 4).cast("long")).alias("read"), F.col("line").alias("seq"))
+    """(read, seq) of four-line records. Plain files are read in splits; a compressed one, which can't be split, by one task."""
+    rows = numbered_lines(spark, path).where("n % 4 = 1")
+    name = F.element_at(F.split("file", "/"), -1)
+    return rows.select(F.concat_ws(":", name, ((F.col("n") - 1) / 4).cast("long")).alias("read"), F.col("line").alias("seq"))
 
 
 def coverage(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -126,13 +136,12 @@ def blast(spark: SparkSession, path: str) -> DataFrame:
 
 
 def contig_paths(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, pos, unitig) of alternating NODE and comma-list lines; a contig's list may go on after ';'."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line")).where(F.trim("line") != "")
-    w = Window.partitionBy("file").orderBy("n")
-    rows = rows.withColumn("contig", F.last(F.when(F.col("line").startswith("NODE"), F.trim("line")), ignorenulls=True).over(w)).where(~F.col("line").startswith("NODE"))
-    steps = rows.select("contig", "n", F.posexplode(F.split(F.regexp_replace("line", "[;\\s]", ""), ",")).alias("p", "node")).where("node <> ''")
-    own = Window.partitionBy("contig").orderBy("n", "p")
-    return steps.select("contig", (F.row_number().over(own) - 1).alias("pos"), F.regexp_replace("node", "[+-]", "").alias("unitig"))
+    """(contig, pos, unitig) of alternating NODE and comma-list lines; a contig's list may go on after ';'. Each record is a row of the scan."""
+    rows = spark.read.option("lineSep", "\nNODE").text(path).where(F.trim("value") != "")
+    lines = F.split(F.regexp_replace("value", r"^NODE|\r", ""), "\n")
+    listed = F.concat_ws(",", F.transform(F.slice(lines, 2, 1 << 30), lambda x: F.regexp_replace(x, r"[;\s]", "")))
+    steps = rows.select(F.concat(F.lit("NODE"), F.trim(lines[0])).alias("contig"), F.filter(F.split(listed, ","), lambda x: x != "").alias("p"))
+    return steps.select("contig", F.posexplode("p").alias("pos", "node")).select("contig", "pos", F.regexp_replace("node", "[+-]", "").alias("unitig"))
 
 
 def bins(spark: SparkSession, path: str) -> DataFrame:
