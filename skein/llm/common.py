@@ -124,6 +124,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return where.join(least, "at").select("node", "component")
 
 
+ROW = "row_id long, row_th long"
+
+
+def judged_rows(docs: DataFrame, drops) -> DataFrame:
+    """docs without the rows whose text `drops`, a function from an Arrow array of binary texts to booleans, condemns. Rows are told by
+    doc_id and the hash of their text, so a row is judged by its own text, and texts don't come back from the workers; columns of any name stay."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(drops(batch.column(2)), pa.bool_())
+            yield batch.select([0, 1]).filter(keep).rename_columns(["row_id", "row_th"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary"))
+    id_, th = fresh(docs, "row_id", "row_th")
+    bad = materialize(texts.mapInArrow(judge, ROW).distinct()).select(F.col("row_id").alias(id_), F.col("row_th").alias(th))
+    return docs.join(sized(bad, 40), docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(th)), "left_anti")
+
+
 def hex_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

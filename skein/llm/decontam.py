@@ -167,11 +167,10 @@ def op2_decontamination(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not contaminated, each row judged by its own text, whatever its doc_id; columns of any name are kept. Null and
     empty texts are clean; repeated rows are judged alike; an empty table gives no rows."""
-    sent, at = _sent(spark, common.table(spark, sf_dir, "benchmark"), 13, 100_000), docs.columns.index("text")
+    sent = _sent(spark, common.table(spark, sf_dir, "benchmark"), 13, 100_000)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, spans, _ = _judged(sent, batch.column(at).cast(pa.binary()))
-            yield batch.filter(pa.array([not bad for bad in _contaminated(sizes, spans)[1]], pa.bool_()))
+    def bad(texts: pa.Array) -> list[bool]:
+        sizes, spans, _ = _judged(sent, texts)
+        return _contaminated(sizes, spans)[1]
 
-    return docs.mapInArrow(clean, docs.schema)
+    return common.judged_rows(docs, bad)

@@ -167,12 +167,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not toxic, each row judged by its own text, whatever its doc_id; columns of any name are kept. Null and empty
     texts score as texts without known words; repeated rows are judged alike; an empty table gives no rows."""
     sent = spark.sparkContext.broadcast(train(docs, common.table(spark, sf_dir, "labels")))
-    at = docs.columns.index("text")
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bad(texts: pa.Array) -> np.ndarray:
         model: CumulativeLink = sent.value
-        for batch in batches:
-            scores = np.array([model.score(w) for w in _words(batch.column(at).cast(pa.binary()))], float)
-            yield batch.filter(pa.array(~model.toxic(scores)))
+        return model.toxic(np.array([model.score(w) for w in _words(texts)], float))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return common.judged_rows(docs, bad)
