@@ -1,8 +1,11 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import decontam, line_dedup, mixing, ngram_join, suffix_dedup, toxicity
@@ -164,6 +167,32 @@ def test_runs_reach_recall():
     assert 1 <= ngram_join.runs_for(0.8, 0.9) < ngram_join.runs_for(0.8, 0.9999)
 
 
+def test_chosen_paths_reach_recall():
+    """Pairs just over the threshold meet, even where every bucket is so large that paths go down to the last level."""
+    r, sets = random.Random(9), []
+    while len(sets) < 4000:
+        text = helpers.prose(r, r.randint(30, 150))
+        a, b = ngram_join.shingle_sets([text.encode(), helpers.near(r, text, r.randint(1, 3)).encode()], 5)
+        both = len(np.intersect1d(a, b))
+        if 0.8 <= both / (len(a) + len(b) - both) <= 0.85:
+            sets += [a, b]
+    sigs = ngram_join.signatures(sets)
+    runs = ngram_join.runs_for(0.8, 0.999)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([s.tobytes() for s in sigs], pa.binary())], ["c", "sig"])
+    (level,) = ngram_join._roots(runs)(iter([batch]))
+    for depth in range(2, ngram_join.DEPTH + 1):
+        own = defaultdict(set)
+        for path, c in zip(*(x.to_pylist() for x in level.columns), strict=True):
+            own[c].add(path)
+        met = [own[i] & own[i + 1] for i in range(0, len(sets), 2)]
+        assert sum(map(bool, met)) >= 0.98 * len(met), depth
+        rows = [(p, c) for i, paths in enumerate(met) for p in sorted(paths) for c in (2 * i, 2 * i + 1)]
+        batch = pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows]), pa.array([c for _, c in rows]), pa.array([sigs[c].tobytes() for _, c in rows], pa.binary())], ["path", "c", "sig"])
+        (level,) = ngram_join._children(iter([batch]))
+    need = math.ceil((0.8 - 4 * math.sqrt(0.8 * 0.2 / ngram_join.COORDS)) * ngram_join.COORDS)
+    assert ((sigs[::2] == sigs[1::2]).sum(axis=1) >= need).mean() >= 0.99
+
+
 # ---- substrings ----
 
 
