@@ -92,11 +92,12 @@ def reference_assignment_table(spark, d):
     return readers.reference_assignments(spark, _text(rows, "assigned", "l_partkey", F.concat_ws("\t", "s")))
 
 
-@query("SELECT CAST(p_partkey AS VARCHAR) AS unitig, CASE WHEN p_size % 3 > 0 THEN p_size END AS start, p_size + 10 AS \"end\", p_size % 2 = 0 AS forward FROM part")
+@query("SELECT CAST(p_partkey AS VARCHAR) AS unitig, CASE WHEN p_size % 3 > 0 THEN p_size ELSE -1 END AS start, p_size + 10 AS \"end\", p_size % 2 = 0 AS forward FROM part")
 def unitig_order_table(spark, d):
     part = table(spark, d, "part")
     start = F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("string")).otherwise("None")
-    return readers.unitig_order(spark, _text(part, "order", "p_partkey", start, F.col("p_size") + 10, F.when(F.col("p_size") % 2 == 0, "True").otherwise("False"), sep=","))
+    rows = readers.unitig_order(spark, _text(part, "order", "p_partkey", start, F.col("p_size") + 10, F.when(F.col("p_size") % 2 == 0, "True").otherwise("False"), sep=","))
+    return rows.withColumn("start", F.coalesce("start", F.lit(-1)))
 
 
 @query("SELECT CAST(l_orderkey AS VARCHAR) AS query, CAST(l_partkey AS VARCHAR) AS ref, l_quantity AS pid, CAST(l_linenumber AS INTEGER) AS length, l_extendedprice AS bits FROM lineitem")
