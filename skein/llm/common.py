@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -10,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy(f):
+    """The same function of Arrow batches, but a worker that has run it gives the memory that it freed back to the system. Workers live on from
+    stage to stage, and what they hold adds up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -101,7 +117,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = sym.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", seed).alias("h"), F.col("b").alias("x"))).alias("n"))
         own = F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("x"))
         if n <= FEW:
-            step = materialize(both.repartition(1).mapInArrow(_joined, "a long, to long"))
+            step = materialize(both.repartition(1).mapInArrow(tidy(_joined), "a long, to long"))
         else:
             step = materialize(near.select("a", F.least(F.col("n"), own)["x"].alias("to")))
         before = where
@@ -138,7 +154,7 @@ def judged_rows(docs: DataFrame, drops) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), F.col("text").cast("binary"))
     id_, th = fresh(docs, "row_id", "row_th")
-    bad = materialize(texts.mapInArrow(judge, ROW).distinct()).select(F.col("row_id").alias(id_), F.col("row_th").alias(th))
+    bad = materialize(texts.mapInArrow(tidy(judge), ROW).distinct()).select(F.col("row_id").alias(id_), F.col("row_th").alias(th))
     return docs.join(sized(bad, 40), docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(th)), "left_anti")
 
 
@@ -202,6 +218,16 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def chunked(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs [i, j) of a binary column with about CHUNK bytes, one value at least, and their values; null is empty."""
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    i = 0
+    while i < len(size):
+        j = i + max(1, int(np.searchsorted(np.cumsum(size[i : i + CHUNK]), CHUNK, "right")))
+        yield i, min(j, len(size)), [t.as_py() or b"" for t in column.slice(i, j - i)]
+        i = j
+
+
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """P with the hash of [s, e) being (P[e] - P[s]) * INVERSE^s, wrapped to 64 bits."""
     up, _ = _powers(max(CHUNK, 1 << int(max(1, len(codes))).bit_length()))

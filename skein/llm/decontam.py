@@ -156,7 +156,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, most: int
     columns are ignored. No shuffle: documents stay where they are read.
     """
     sent = _sent(docs.sparkSession, benchmark, n, most)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_finder(sent), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(common.tidy(_finder(sent)), SCHEMA)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

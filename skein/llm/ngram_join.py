@@ -69,8 +69,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _sign(n: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(1)]
-            sizes, keys, sigs, held, at = [0] * len(texts), [None] * len(texts), [None] * len(texts), [], []
+            m = batch.num_rows
+            sizes, keys, sigs, held, at = [0] * m, [None] * m, [None] * m, [], []
 
             def flush():
                 for r, s in zip(at, signatures(held) if held else [], strict=True):
@@ -78,7 +78,7 @@ def _sign(n: int):
                 held.clear()
                 at.clear()
 
-            for r, s in enumerate(shingle_sets(texts, n)):
+            for r, s in ((r, s) for i, _, texts in common.chunked(batch.column(1)) for r, s in enumerate(shingle_sets(texts, n), i)):
                 if len(s):
                     sizes[r], keys[r] = len(s), set_key(s)
                     held.append(s)
@@ -299,10 +299,10 @@ def _joined(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, recall: flo
     """jaccard_join with th, the hash of the text, and class_key, which names the class whatever its doc_ids."""
     similarity = num / den
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("th"))
-    signed = common.materialize(texts.mapInArrow(_sign(n), "doc_id long, th long, n int, c long, sig binary"))
+    signed = common.materialize(texts.mapInArrow(common.tidy(_sign(n)), "doc_id long, th long, n int, c long, sig binary"))
     reps = common.materialize(signed.where("c is not null").groupBy("c").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"), F.first("sig").alias("sig")))
 
-    level = reps.select("c", "sig").mapInArrow(_roots(runs_for(similarity, recall)), "path long, c long")
+    level = reps.select("c", "sig").mapInArrow(common.tidy(_roots(runs_for(similarity, recall))), "path long, c long")
     edges = None
     for depth in range(2, DEPTH + 1):
         level = common.materialize(level)
@@ -317,24 +317,24 @@ def _joined(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, recall: flo
             leaves = leaves.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
             leaves = leaves.select(F.when(F.col("t") == 1, F.col("path")).otherwise(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))).alias("path"), "c")
         leaves = leaves.join(reps.select("c", "sig"), "c").select("path", "c", "sig")
-        found = leaves.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(_meet(similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDS)), "a long, b long")
+        found = leaves.repartition(F.col("path")).sortWithinPartitions("path").mapInArrow(common.tidy(_meet(similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDS))), "a long, b long")
         found = common.materialize(found.distinct())
         edges = found if edges is None else edges.union(found)
         if large is None or large.isEmpty():
             break
-        level = level.join(large.select("path"), "path").join(reps.select("c", "sig"), "c").select("path", "c", "sig").mapInArrow(_children, "path long, c long").distinct()
+        level = level.join(large.select("path"), "path").join(reps.select("c", "sig"), "c").select("path", "c", "sig").mapInArrow(common.tidy(_children), "path long, c long").distinct()
 
     parts = common.materialize(common.connected_components(edges))
     counted = parts.join(parts.groupBy("component").agg(F.count("*").alias("size")), "component")
     members = counted.join(reps.select(F.col("c").alias("node"), "docs", "first_doc"), "node")
     members = common.sized(common.materialize(members), 80)
     fetched = texts.join(members, texts["doc_id"].eqNullSafe(members["first_doc"]))
-    sets = fetched.select(F.col("component").alias("comp"), "size", F.col("node").alias("c"), "docs", "text").mapInArrow(_sets(n), "comp long, size long, c long, docs long, s binary")
+    sets = fetched.select(F.col("component").alias("comp"), "size", F.col("node").alias("c"), "docs", "text").mapInArrow(common.tidy(_sets(n)), "comp long, size long, c long, docs long, s binary")
     t = F.ceil(F.col("size") / TILE).cast("int")
     dealt = sets.withColumn("tile", F.pmod(F.xxhash64("c"), t)).withColumn("other", F.explode(F.sequence(F.lit(0), t - 1)))
     dealt = dealt.select("comp", F.least("tile", "other").cast("long").alias("ti"), F.greatest("tile", "other").cast("long").alias("tj"), F.col("tile").cast("long").alias("tile"), "c", "docs", "s")
     verified = common.materialize(
-        dealt.repartition(F.col("comp"), F.col("ti"), F.col("tj")).sortWithinPartitions("comp", "ti", "tj").mapInArrow(_verify(num, den), "c long, docs_linked long, texts_linked long, parent long")
+        dealt.repartition(F.col("comp"), F.col("ti"), F.col("tj")).sortWithinPartitions("comp", "ti", "tj").mapInArrow(common.tidy(_verify(num, den)), "c long, docs_linked long, texts_linked long, parent long")
     )
     linked = verified.groupBy("c").agg(F.sum("docs_linked").alias("docs_linked"), F.sum("texts_linked").alias("texts_linked"))
     joined = common.connected_components(verified.select(F.col("c").alias("a"), F.col("parent").alias("b")))

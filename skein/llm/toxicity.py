@@ -14,9 +14,8 @@ from . import common
 
 def _words(column: pa.Array) -> Iterator[np.ndarray]:
     """The distinct word hashes of each text; null has none."""
-    texts = [t.as_py() or b"" for t in column]
-    for i, j in common.chunks(texts):
-        hashes, bounds = common.word_hashes(texts[i:j])
+    for i, j, texts in common.chunked(column):
+        hashes, bounds = common.word_hashes(texts)
         for r in range(j - i):
             yield np.unique(hashes[bounds[r] : bounds[r + 1]])
 
@@ -126,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", most: int =
     picked = spark.createDataFrame([(r["doc_id"], place, r["grade"]) for place, r in enumerate(own.collect())], "doc_id long, place long, grade long")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # `most` rows of three integers
     texts = texts.groupBy("place", "grade").agg(F.min("text").alias("text"))
-    rows = common.materialize(texts.mapInArrow(_features, "place long, grade long, n long, words array<long>"))
+    rows = common.materialize(texts.mapInArrow(common.tidy(_features), "place long, grade long, n long, words array<long>"))
     total, until = 0, 0
     for place, n in sorted(tuple(r) for r in rows.select("place", "n").collect()):
         total += n
@@ -155,7 +154,7 @@ def toxicity(docs: DataFrame, model: CumulativeLink) -> DataFrame:
     grade, and whether that is above the lowest. Null and empty texts score as texts without known words; repeated rows
     each get a row; with labels of one grade only, all get that grade; without labels grade 0. Whole texts count."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most one weight for each word of the labelled sample
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_scorer(sent), "doc_id long, severity double, grade int, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(common.tidy(_scorer(sent)), "doc_id long, severity double, grade int, toxic boolean")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
