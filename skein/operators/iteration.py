@@ -1,4 +1,4 @@
-"""Tables between rounds of iterative operators, kept in the folder that driver and executors share, and ranks over whole tables."""
+"""Tables between rounds of iterative operators, kept in the folder that driver and executors share; ranks over whole tables, connected ids."""
 
 from __future__ import annotations
 
@@ -30,6 +30,41 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of two ids a row goes out as a broadcast up to so many rows.
+SMALL = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, a settled table of two ids a row, with a broadcast hint if its rows are few."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def ahead(step: DataFrame) -> DataFrame:
+    """(id, to): each step followed by the step of its target."""
+    up = step.select(F.col("id").alias("to"), F.col("to").alias("up"))
+    return step.join(small(up), "to", "left").select("id", F.coalesce("up", "to").alias("to"))
+
+
+def roots(pairs: DataFrame) -> DataFrame:
+    """(id, root) of pairs (a long, b long): connected ids get the same root, one of them; an id that is not listed is its own. In each round every id moves
+    to its least neighbour, if that is less, and on to where that one moves; pairs are renamed, and those within one id go. As ids are hashes, in no
+    order along the graph, rounds grow with its logarithm."""
+    pairs = settle(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    steps: list[DataFrame] = []
+    while not pairs.isEmpty():
+        steps.append(settle(ahead(settle(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to"))))))
+        to = small(steps[-1])
+        moved = pairs.join(to.withColumnRenamed("id", "a"), "a").select(F.col("to").alias("x"), "b")
+        moved = moved.join(to.select(F.col("id").alias("b"), F.col("to").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y"))
+        pairs = settle(moved.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+    out = pairs.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    for step in reversed(steps):
+        later = small(out)
+        own = step.join(later.withColumnRenamed("id", "to"), "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+        out = settle(own.union(out.join(step, "id", "left_anti")))
+    return out
+
+
 def ranked(df: DataFrame, *order, name: str = "rank") -> DataFrame:
     """df with the place of each row in this order, from 1: range partitions are sorted and numbered side by side, and their sizes, one row each, summed."""
     sort = df.repartitionByRange(*order).sortWithinPartitions(*order)

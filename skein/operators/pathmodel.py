@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict, deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .iteration import roots, settle, small
+
 
 class Dag:
     """Nodes in topological order, edges as index arrays. Raises ValueError on a cycle."""
@@ -425,16 +429,114 @@ def without_cycles(edges: DataFrame) -> DataFrame:
     return given(edges.groupBy("gene").applyInPandas(run, edges.select("gene", "u", "v", "weight").schema))
 
 
-def superbubbles(edges: DataFrame) -> DataFrame:
-    """(gene, source, sink, nodes): every superbubble of two and more inner nodes."""
+#: Edges that a task of superbubbles links at once; they are packed by the parts they form.
+PACK = 1 << 19
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = set(zip(pdf["u"], pdf["v"], strict=True))
+
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n nodes, the least that the edges a - b connect it with."""
+    to = np.arange(n)
+    while True:
+        x, y = to[a], to[b]
+        apart = x != y
+        if not apart.any():
+            return to
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (to[to] != to).any():
+            to = to[to]
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    new = np.ones(len(columns[0]) + 1, bool)
+    new[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gene, u, v, a, b), a and b the ids of u and v -> (gene, us, vs, part, null) for edges that are connected here, part being one of their ids; and (null, null, null, part, id)
+    for each of the ids but part itself."""
+
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        gene, u, v, a, b = (c.combine_chunks() for c in rows.columns)
+        ids, at = np.unique(np.concatenate((a.to_numpy(), b.to_numpy())), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        to = _least(a, b, len(ids))
+        codes = _codes(gene)
+        order = np.lexsort((codes, to[a]))
+        cut = _cuts(to[a][order], codes[order])
+        lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), x.take(pa.array(order))) for x in (u, v)]
+        first, more = order[cut[:-1]], np.flatnonzero(to != np.arange(len(ids)))
+        n = len(first)
+        yield pa.RecordBatch.from_arrays([gene.take(pa.array(first)), *lists, pa.array(ids[to[a[first]]]), pa.nulls(n, pa.int64())], ["gene", "us", "vs", "part", "id"])
+        none = [pa.nulls(len(more), t) for t in (gene.type, lists[0].type, lists[1].type)]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(ids[to[more]]), pa.array(ids[more])], ["gene", "us", "vs", "part", "id"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= PACK:
+            yield from packed(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield from packed(pa.Table.from_batches(held))
+
+
+def _bubbles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gene, us, vs, part), a gene's rows of a part one behind the other -> (gene, source, sink, nodes)."""
+
+    def found(own: set[tuple[str, str]]) -> list[tuple[str, str, list[str]]]:
         near = neighbours(own)
-        found = [(s, *b) for s in sorted({u for u, _ in own}) if (b := superbubble(own, s, near)) and len(b[1]) > 3]
-        return some({"gene": [pdf["gene"].iloc[0]] * len(found), "source": [f[0] for f in found], "sink": [f[1] for f in found], "nodes": [sorted(f[2]) for f in found]})
+        several = sorted(u for u, to in near[0].items() if len(to) > 1)  # with one child a bubble has no inner nodes
+        return [(s, b[0], sorted(b[1])) for s in several if (b := superbubble(own, s, near)) and len(b[1]) > 3]
 
-    return given(edges.groupBy("gene").applyInPandas(run, edges.select("gene").schema.add("source", "string").add("sink", "string").add("nodes", T.ArrayType(T.StringType()))))
+    def rows(gene: pa.Array, out: list) -> pa.RecordBatch:
+        at, out = pa.array([i for i, _ in out], pa.int64()), [x for _, x in out]
+        return pa.RecordBatch.from_arrays([gene.take(at), *[pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string())))]], ["gene", "source", "sink", "nodes"])
+
+    open_, own = None, set()  # the gene and part whose edges may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        gene, us, vs, part = batch.columns
+        cut = _cuts(_codes(gene), part.to_numpy()).tolist()
+        u, v, offset = us.flatten().to_pylist(), vs.flatten().to_pylist(), np.concatenate(([0], np.cumsum(us.value_lengths().to_numpy()))).tolist()
+        out = []
+        for s, e in zip(cut, cut[1:]):
+            edges = zip(u[offset[s] : offset[e]], v[offset[s] : offset[e]], strict=True)
+            if s == 0 and open_ and open_[1] == part[0].as_py() and open_[0][0].equals(gene[0]):
+                own.update(edges)
+            else:
+                if s == 0 and open_:
+                    yield rows(open_[0], [(0, x) for x in found(own)])
+                own = set(edges)
+            if e < len(gene):
+                out += [(s, x) for x in found(own)]
+        open_ = gene.slice(len(gene) - 1), part[len(gene) - 1].as_py()
+        yield rows(gene, out)
+    if open_:
+        yield rows(open_[0], [(0, x) for x in found(own)])
+
+
+def superbubbles(edges: DataFrame) -> DataFrame:
+    """(gene, source, sink, nodes): every superbubble of two and more inner nodes. A gene's connected parts are searched one by one, a part in one task: tasks link the
+    edges that they hold, and parts that share a node of another task are joined. Edges that lack an end are none."""
+    ids = [F.xxhash64("gene", c).alias(n) for c, n in (("u", "a"), ("v", "b"))]  # where two nodes share an id, two parts are searched as one
+    kinds = edges.select("gene").schema
+    schema = T.StructType([*kinds, *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("us", "vs")], T.StructField("part", T.LongType()), T.StructField("id", T.LongType())])
+    packed = settle(edges.where("u is not null and v is not null").select("gene", "u", "v", *ids).mapInArrow(_pack, schema))
+    held, named = packed.where("id is not null").select("id", "part"), packed.where("id is null").select(F.col("part").alias("id"), "part")
+    shared = held.union(named).groupBy("id").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    to = small(roots(held.join(small(settle(shared.select("id", "low"))), "id").select(F.col("id").alias("a"), F.col("part").alias("b"))))
+    rows = packed.where("id is null").select("gene", "us", "vs", "part").join(to.withColumnRenamed("id", "part"), "part", "left").select("gene", "us", "vs", F.coalesce("root", "part").alias("part"))
+    dealt = rows.repartition("part").sortWithinPartitions("part", "gene")
+    return dealt.mapInArrow(_bubbles, T.StructType([*kinds, T.StructField("source", T.StringType()), T.StructField("sink", T.StringType()), T.StructField("nodes", T.ArrayType(T.StringType()))]))
 
 
 def all_distances(edges: DataFrame, tips: DataFrame) -> DataFrame:

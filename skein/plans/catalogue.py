@@ -516,10 +516,10 @@ def path_samples(spark, d):
 FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey HAVING count(*) > 1""")
 def superbubbles(spark, d):
     """Each order's lines side by side between two ends."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct().sortWithinPartitions("l_orderkey")
     order, line = F.col("l_orderkey").cast("string"), F.concat(F.lit("l"), "l_orderkey", F.lit("_"), "l_linenumber")
-    gene = (F.col("l_orderkey") % 8).alias("gene")
-    e = li.select(gene, F.concat(F.lit("s"), order).alias("u"), line.alias("v")).union(li.select(gene, line, F.concat(F.lit("t"), order)))
+    both = F.array(F.struct(F.concat(F.lit("s"), order).alias("u"), line.alias("v")), F.struct(line.alias("u"), F.concat(F.lit("t"), order).alias("v")))
+    e = li.select((F.col("l_orderkey") % 8).alias("gene"), F.inline(both))
     return pathmodel.superbubbles(e)
 
 

@@ -75,6 +75,48 @@ def test_superbubbles():
     assert [x[0] for x in pathmodel.bubble_chain(e, "s")][:3] == ["t", "u", "z"]
 
 
+def test_superbubbles_are_searched_by_parts(spark, monkeypatch):
+    def whole(pdf):
+        raise AssertionError("a gene went to one task")
+
+    rng, rows = np.random.default_rng(3), []
+    for i in range(40):  # parts of one gene with a chain of bubbles each, some of them not closed
+        rows += [(0, f"s{i}", f"a{i}{k}") for k in range(2 + i % 3)] + [(0, f"a{i}{k}", f"t{i}") for k in range(2 + i % 3)]
+        rows += [(0, f"t{i}", f"b{i}{k}") for k in range(2)] + [(0, f"b{i}{k}", f"u{i}") for k in range(2)]
+        rows += [(0, f"b{i}0", f"out{i}")] * (i % 2) + [(1, f"s{i}", f"a{i}")]
+    rows += [(2, u, v) for u, v in random_dag(rng)] + [(None, "s", "x"), (None, "s", "y"), (None, "x", "t"), (None, "y", "t")]
+    rows = [rows[i] for i in rng.permutation(len(rows))] + rows[:50]
+    want = set()
+    for gene in (0, 1, 2, None):
+        own = {(u, v) for g, u, v in rows if g == gene}
+        want |= {(gene, s, b[0], tuple(sorted(b[1]))) for s in {u for u, _ in own} if (b := pathmodel.superbubble(own, s)) and len(b[1]) > 3}
+    edges = spark.createDataFrame(rows, "gene int, u string, v string").repartition(7)
+    monkeypatch.setattr(pathmodel, "some", whole)
+    monkeypatch.setattr(type(edges.groupBy("gene")), "applyInPandas", lambda *_: whole(None))
+    got = [(r.gene, r.source, r.sink, tuple(r.nodes)) for r in pathmodel.superbubbles(edges).collect()]
+    assert len(got) == len(want) >= 61
+    assert set(got) == want
+    none = pathmodel.superbubbles(edges.limit(0))
+    assert none.count() == 0 and none.schema == pathmodel.superbubbles(edges).schema
+
+
+def test_roots_join_what_is_connected(spark):
+    from skein.operators.iteration import roots
+
+    rng = np.random.default_rng(5)
+    pairs = [tuple(map(int, p)) for p in rng.integers(-(2**62), 2**62, 300)[rng.integers(0, 300, (220, 2))]]
+    pairs += [(10 * i, 10 * i + 10) for i in range(70)]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    out = roots(spark.createDataFrame(pairs, "a long, b long")).collect()
+    got = {r.id: r.root for r in out}
+    assert len(out) == len(got)
+    name = {x: got.get(x, x) for x in label}
+    assert len({(label[x], name[x]) for x in label}) == len(set(label.values())) == len(set(name.values()))
+
+
 def test_sources_and_sinks_rules():
     lengths = {"1": 100, "2": 100, "3": 100}
     edges = [("1+", "2+", 1.0), ("2+", "3+", 1.0), ("3-", "2-", 1.0), ("2-", "1-", 1.0)]
