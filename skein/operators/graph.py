@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 
 from skein.functions.sequence import node_name, reverse_node, unitig_of
 
-from .iteration import settle
+from .iteration import ahead, roots, settle, small
+
+
+def strand_rows(links: DataFrame) -> DataFrame:
+    """(gene, u, v): each link and its twin on the other strand, as often as they come."""
+    own = links.select("gene", node_name(F.col("src"), F.col("src_fwd")).alias("u"), node_name(F.col("dst"), F.col("dst_fwd")).alias("v"))
+    return own.select("gene", F.inline(F.array(F.struct("u", "v"), F.struct(reverse_node(F.col("v")).alias("u"), reverse_node(F.col("u")).alias("v")))))
 
 
 def both_strands(links: DataFrame) -> DataFrame:
     """(gene, u, v): each link and its twin on the other strand, once."""
-    ahead = links.select("gene", node_name(F.col("src"), F.col("src_fwd")).alias("u"), node_name(F.col("dst"), F.col("dst_fwd")).alias("v"))
-    twin = ahead.select("gene", reverse_node(F.col("v")).alias("u"), reverse_node(F.col("u")).alias("v"))
-    return ahead.union(twin).distinct()
+    return strand_rows(links).distinct()
 
 
 def bigraph(links: DataFrame, unitigs: DataFrame, overlap: int) -> DataFrame:
@@ -65,19 +69,41 @@ def core(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(gene, node, component): weakly connected parts, each named by its smallest node. Labels pass along edges and then jump to the
-    label's own label, so rounds grow with the logarithm of the diameter."""
-    e = edges.select("gene", "u", "v")
-    both = settle(e.union(e.select("gene", "v", "u")).distinct())
-    label = settle(both.groupBy("gene", F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("component")))
-    while True:
-        near = both.join(label.select("gene", F.col("node").alias("v"), "component"), ["gene", "v"]).groupBy("gene", F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        moved = label.join(near, ["gene", "node"]).select("gene", "node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        up = moved.select("gene", F.col("node").alias("to"), F.col("to").alias("up"))
-        moved = settle(moved.join(up, ["gene", "to"], "left").select("gene", "node", F.coalesce("up", "to").alias("component"), "was"))
-        label = moved.select("gene", "node", "component")
-        if moved.where("component <> was").isEmpty():
-            return label
+    """(gene, node, component): weakly connected parts, each named by its smallest node. Nodes get 64-bit ids and move to their least neighbours, round by round; edges may
+    repeat. Edges that lack gene or end are none. Ids that two nodes share are found, and others taken."""
+    e = settle(edges.select("gene", "u", "v").where("gene is not null and u is not null and v is not null"))
+    seed = 0
+    while (out := _components(e, seed)) is None:
+        seed += 1
+    return out
+
+
+def _node_id(node: str, seed: int) -> Column:
+    return F.xxhash64("gene", node, F.lit(seed))
+
+
+def _components(e: DataFrame, seed: int) -> DataFrame | None:
+    """components, or None if two nodes have the same id."""
+    e = e.withColumn("a", _node_id("u", seed)).withColumn("b", _node_id("v", seed))
+    up = F.col("a") >= F.col("b")
+    e = e.select("gene", F.when(up, F.col("u")).otherwise(F.col("v")).alias("top"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("low"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tops = settle(e.groupBy("gene", F.col("top").alias("node"), F.col("a").alias("id")).agg(F.min("b").alias("to")))
+    step = settle(ahead(tops.where("id <> to").select("id", "to")))
+    follow = step.select(F.col("id").alias("to"), F.col("to").alias("up"))
+    tops = settle(tops.join(follow, "to", "left").select("gene", "node", "id", F.coalesce("up", "to").alias("to")))
+
+    # The lower ends are looked up by name, so one that is never the upper end shows.
+    pairs = e.join(tops.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").select("gene", "low", "b", "x")
+    pairs = pairs.join(tops.select(F.col("id").alias("b"), "gene", F.col("node").alias("low"), F.col("to").alias("y")), ["b", "gene", "low"], "left")
+    least = F.col("y").isNull()
+    pairs = settle(pairs.select(F.when(least, F.col("gene")).alias("gene"), F.when(least, F.col("low")).alias("node"), "x", F.coalesce("y", "b").alias("y"), F.col("b").alias("id")).where("x <> y or node is not null"))
+    nodes = settle(tops.union(pairs.where("node is not null").select("gene", "node", "id", F.col("id").alias("to")).distinct()))
+    if not nodes.groupBy("id").count().where("count > 1").isEmpty():
+        return None
+    named = small(roots(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    label = settle(nodes.join(named.select(F.col("id").alias("to"), "root"), "to", "left").select("gene", "node", F.coalesce("root", "to").alias("root")))
+    names = settle(label.groupBy("root").agg(F.min("node").alias("component")))
+    return label.join(small(names), "root").select("gene", "node", "component")
 
 
 def rooted(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:

@@ -364,7 +364,7 @@ r(gene, node, component) USING KEY (gene, node) AS (
   UNION SELECT b.gene, b.u, min(x.component) FROM r x JOIN both_ b ON b.gene = x.gene AND b.v = x.node JOIN recurring.r o ON o.gene = b.gene AND o.node = b.u WHERE x.component < o.component GROUP BY 1, 2
 ) SELECT gene, node, component FROM r""")
 def components(spark, d):
-    return graph.components(graph.settle(_edges(spark, d)))
+    return graph.components(graph.strand_rows(domain.link_rows(spark, d)))
 
 
 @query(f"""WITH RECURSIVE {LAYERED}, s AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_1'), r AS (SELECT gene, node AS start, node, 0 AS hops FROM s UNION SELECT r.gene, start, v, hops + 1 FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node),

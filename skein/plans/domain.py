@@ -49,10 +49,15 @@ def ends(spark: SparkSession, d: str) -> DataFrame:
 
 def links(spark: SparkSession, d: str) -> DataFrame:
     """(gene, src, src_fwd, dst, dst_fwd): parts of one order's neighbouring lines, the strand by the parity of key sums."""
+    return link_rows(spark, d).distinct()
+
+
+def link_rows(spark: SparkSession, d: str) -> DataFrame:
+    """links, as often as they come."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     e = li.withColumn("dst", F.lead("l_partkey").over(w)).where("dst is not null and dst <> l_partkey")
-    return e.select((F.col("l_orderkey") % 5).alias("gene"), F.col("l_partkey").alias("src"), (F.col("l_orderkey") % 2 == 0).alias("src_fwd"), "dst", (F.col("dst") % 2 == 0).alias("dst_fwd")).distinct()
+    return e.select((F.col("l_orderkey") % 5).alias("gene"), F.col("l_partkey").alias("src"), (F.col("l_orderkey") % 2 == 0).alias("src_fwd"), "dst", (F.col("dst") % 2 == 0).alias("dst_fwd"))
 
 
 # ---- the same in SQL ----

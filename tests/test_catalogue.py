@@ -50,6 +50,44 @@ def test_components_match_union_find(spark):
     assert got == dict.fromkeys("abcd", "a") | dict.fromkeys("xypq", "p") | {f"k{i:03}": "k000" for i in range(61)}
 
 
+def test_components_of_repeated_edges_loops_and_genes(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skein.operators import graph
+
+    rng = random.Random(4)
+    rows = [(g, f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for g in (1, 2) for _ in range(90)]
+    rows += rows[:40] + [(3, "alone", "alone"), (None, "x", "y"), (3, "x", None)]
+    label = {(g, n): n for g, *e in rows for n in e if g and None not in e}
+    for _ in label:
+        for g, u, v in rows:
+            if g and u and v:
+                label[g, u] = label[g, v] = min(label[g, u], label[g, v])
+    edges = spark.createDataFrame(rows, "gene int, u string, v string")
+
+    def check():
+        out = graph.components(edges).collect()
+        assert {(r.gene, r.node): r.component for r in out} == label and len(out) == len(label)
+
+    check()
+    ids, seeds = graph._node_id, []
+    monkeypatch.setattr(graph, "_node_id", lambda node, seed: seeds.append(seed) or (ids(node, seed) if seed else F.pmod(ids(node, seed), F.lit(100))))  # ids that nodes share
+    check()
+    assert set(seeds) == {0, 1}
+
+
+def test_components_rounds_write_ids_only(spark, monkeypatch):
+    from skein.operators import graph, iteration
+
+    texts, write = [], iteration.settle
+    for module in (graph, iteration):
+        monkeypatch.setattr(module, "settle", lambda df: texts.append(sum(t == "string" for _, t in df.dtypes)) or write(df))
+    graph.components(spark.createDataFrame([(1, f"k{i:03}", f"k{i + 1:03}") for i in range(200)], "gene int, u string, v string")).collect()
+    assert len(texts) > 8 and sum(n > 0 for n in texts) <= 7  # once for the edges and a few times for the nodes, whatever the rounds
+
+
 def test_bin_propagation_takes_the_heaviest_neighbours(spark):
     from skein.operators import graph
 
