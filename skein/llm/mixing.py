@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
         hi = lo + r[-1] / max(1, slots)
         r += [lo, hi]
         lo = hi
-    plan = spark.createDataFrame([tuple(r) for r in rows], "src int, source string, source_size long, target double, words long, blocks long, quota long, lo double, hi double")
+    plan = common.local_table(spark, rows, "src int, source string, source_size long, target double, words long, blocks long, quota long, lo double, hi double")
     most = max([n for _, n, _ in sources], default=0)
     digits = next(d for d in range(1, 9) if most / 16**d <= 1000 or d == 8)
     named = slim.join(plan.select("src", "source", "source_size", "target"), slim["source"].eqNullSafe(plan["source"])).drop(plan["source"])

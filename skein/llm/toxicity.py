@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str = "toxic", most: int =
     spark = docs.sparkSession
     own = labels.where(F.col("doc_id").isNotNull() & F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("long").alias("grade"))
     own = own.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = spark.createDataFrame([(r["doc_id"], place, r["grade"]) for place, r in enumerate(own.collect())], "doc_id long, place long, grade long")
+    picked = common.local_table(spark, [(r["doc_id"], place, r["grade"]) for place, r in enumerate(own.collect())], "doc_id long, place long, grade long")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")  # `most` rows of three integers
     texts = texts.groupBy("place", "grade").agg(F.min("text").alias("text"))
     rows = common.materialize(texts.mapInArrow(common.tidy(_features), "place long, grade long, n long, words array<long>"))

@@ -141,3 +141,18 @@ def test_mixing_stage_shares_words_of_repeated_rows(spark, corpus):
         want[r["source"]] += r["taken"]
         assert r["taken"] <= 2 * r["size"]
     assert all(abs(want[r["source"]] - r["target"]) <= 1 for r in out)
+
+
+def test_local_tables_start_no_python_workers(spark, monkeypatch, tmp_path):
+    kind, made = type(spark), []
+    texts = ["some words to keep", "a vile word", None, "and more words"] * 5
+    put(spark.createDataFrame([(i, i % 4 == 1) for i in range(20)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) toxic"), tmp_path, "labels")
+    docs = spark.createDataFrame([(i, t, [None, "b", "a"][i % 3], 1.5) for i, t in enumerate(texts)], "doc_id long, text string, source string, score double").cache()
+    docs.count()
+    make = kind.createDataFrame
+    monkeypatch.setattr(kind, "createDataFrame", lambda self, data, *a, **k: made.append(type(data).__name__) or make(self, data, *a, **k))
+    toxicity.stage(spark, docs, str(tmp_path)).count()
+    mixing.stage(spark, docs, str(tmp_path)).count()
+    mixing.stage(spark, docs.limit(0), str(tmp_path)).count()
+    assert made == ["Table"] * 3
+    assert [tuple(r) for r in common.local_table(spark, [(1, None, 0.5), (None, "x", None)], "a long, b string, c double").collect()] == [(1, None, 0.5), (None, "x", None)]
