@@ -78,7 +78,7 @@ def test_pieces_put_together_are_the_documents(spark, monkeypatch, run):
     rows = list(enumerate(ODD + helpers.texts()))
     rows += [(None, "a null id"), (None, None), rows[20]]
     docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], "doc_id long, text string, length int, ids int, offset string").repartition(2)
-    got = packing.pack(docs, PATH, 64).collect()
+    got = packing.pack(docs, PATH, 64, penalties=(1, 1, 2)).collect()
     want: dict = {}
     for (i, _), ids in zip(rows, tokens([t for _, t in rows])):
         want.setdefault((i, len(ids)), []).append(ids)
