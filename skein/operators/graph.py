@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.sequence import node_name, reverse_node, unitig_of
 
-from .iteration import ahead, roots, settle, small
+from .iteration import FEW, ahead, counted, discard, in_steps, narrow, roots, settle, small
 
 
 def strand_rows(links: DataFrame) -> DataFrame:
@@ -46,17 +46,56 @@ def tips(links: DataFrame, unitigs: DataFrame) -> DataFrame:
     return s.select("gene", "unitig", F.col("lo").isNull().alias("isolated"), (F.col("lo").isNull() | (F.col("lo") == F.col("hi"))).alias("tip"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("leaves_forward"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(gene, node, hops): all nodes that the starts (gene, node) lead to, with the least number of edges. One frontier a round."""
-    seen = settle(starts.select("gene", "node").distinct().withColumn("hops", F.lit(0)))
-    front = seen
-    for hop in range(1, rounds + 1):
-        step = front.join(edges.select("gene", F.col("u").alias("node"), "v"), ["gene", "node"]).select("gene", F.col("v").alias("node")).distinct()
-        front = settle(step.join(seen, ["gene", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    return seen
+#: Hops that go into one job where they are known to stay few rows.
+CHAIN = 16
+
+
+def hops(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ("gene",), limit: int = 1 << 30) -> DataFrame:
+    """keys + (node, hops): for each combination of keys, the gene among them, all nodes that its starts (keys, node) lead to within `limit` edges, with the least number of edges.
+    Only the last nodes reached go on. Where the largest number of edges from a node, or the number of all, bounds what a few hops can reach, these hops are one job without a shuffle; otherwise each hop is a
+    job of its own. What is new is told from what was reached before once a job."""
+    table, all_ = counted(edges.select("gene", "u", "v").where("u is not null and v is not null").distinct(), n=F.count("*"))
+    near = small(table)
+    widest = table.groupBy("gene", "u").count().agg(F.max("count")).first()[0] or 0
+    front, got = counted(starts.select(*keys, "node").distinct().withColumn("hops", F.lit(0)), n=F.count("*"))
+    most = got["n"] + all_["n"] * (1 if keys == ("gene",) else got["n"])  # rows that can be reached at all
+    seen, hop, n = [front], 0, got["n"]
+    named = ", ".join(keys)
+    step = f"""SELECT {named}, node, min(hops) AS hops FROM (
+        SELECT {", ".join(f"r.{k}" for k in keys)}, inline(if(n.v IS NULL, array(named_struct('n', r.node, 'h', r.hops)), array(named_struct('n', r.node, 'h', r.hops), named_struct('n', n.v, 'h', r.hops + 1)))) AS (node, hops)
+        FROM {{rows}} r LEFT JOIN {{near}} n ON n.gene = r.gene AND n.u = r.node AND r.hops = {{i}}) GROUP BY {named}, node"""
+    while n and hop < limit:
+        steps = CHAIN
+        while steps > 1 and min(most, n * widest**steps) > FEW:
+            steps //= 2
+        steps = min(steps, limit - hop)
+        bound = min(most, n * widest**steps)
+        reached = in_steps(narrow(front.select(*keys, "node", F.lit(0).alias("hops")), bound), step, steps, near=near)
+        new = reached.where("hops > 0").withColumn("hops", F.col("hops") + hop)
+        for before in seen:
+            new = new.join(narrow(before.select(*keys, "node"), bound), [*keys, "node"], "left_anti")
+        hop += steps
+        table, got = counted(new, n=F.count_if(F.col("hops") == hop))
+        front, n = table.where(F.col("hops") == hop), got["n"]
+        seen.append(table)
+        if len(seen) > 8:
+            before = seen
+            seen = [settle(_union(before))]
+            front = seen[0].where(F.col("hops") == hop)
+            discard(*before)
+    return _union(seen)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(gene, node, hops): all nodes that the starts (gene, node) lead to, with the least number of edges."""
+    return hops(edges, starts)
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -118,13 +157,7 @@ def rooted(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
 def lowest_common_descendant(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(gene, node, total): of the nodes that every start of a gene leads to, the one of least summed hops, ties to the smaller name."""
     own = settle(starts.select("gene", "node").distinct())
-    pairs = settle(own.select("gene", F.col("node").alias("start"), "node", F.lit(0).alias("hops")))
-    front, hop = pairs, 0
-    while not front.isEmpty():
-        hop += 1
-        step = front.join(edges.select("gene", F.col("u").alias("node"), "v"), ["gene", "node"]).select("gene", "start", F.col("v").alias("node")).distinct()
-        front = settle(step.join(pairs, ["gene", "start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        pairs = pairs.union(front)
+    pairs = hops(edges, own.select("gene", F.col("node").alias("start"), "node"), ("gene", "start"))
     need = own.groupBy("gene").agg(F.count("*").alias("need"))
     sums = pairs.groupBy("gene", "node").agg(F.count("*").alias("n"), F.sum("hops").alias("total")).join(need, "gene").where("n = need")
     w = Window.partitionBy("gene").orderBy("total", "node")
@@ -181,21 +214,18 @@ def with_neighbours(edges: DataFrame, nodes: DataFrame, labelled: DataFrame) ->
 
 
 def propagate_bins(edges: DataFrame, bins: DataFrame, lengths: DataFrame, levels: int = 20) -> DataFrame:
-    """(unitig, bin, votes): each segment without a bin takes the bin of most summed length among the segments within `levels`
-    undirected steps, ties to the smaller bin. edges: (a, b) between segments; bins: (unitig, bin); lengths: (unitig, len)."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    open_ = lengths.join(bins, "unitig", "left_anti").select(F.col("unitig").alias("start"))
-    seen = settle(open_.select("start", F.col("start").alias("unitig")))
-    front = seen
-    for _ in range(levels):
-        step = front.join(both.withColumnRenamed("a", "unitig"), "unitig").select("start", F.col("b").alias("unitig")).distinct()
-        front = settle(step.join(seen, ["start", "unitig"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.union(front)
-    votes = seen.join(bins, "unitig").join(lengths, "unitig").groupBy(F.col("start").alias("unitig"), "bin").agg(F.sum("len").alias("votes"))
+    """(unitig, bin, votes): each segment without a bin takes the bin of most summed length, ties to the smaller bin, among the nodes that its two strands lead to within `levels` edges; what
+    both strands lead to counts for each. So a walk that enters a segment at one end leaves it at the other. edges: (u, v) between nodes id+ and id-; bins: (unitig, bin); lengths: (unitig, len)."""
+    named = lambda df: df.withColumn("unitig", F.col("unitig").cast("string"))
+    kind = lengths.schema["unitig"].dataType
+    bins, lengths = named(bins), named(lengths)
+    open_ = lengths.join(bins, "unitig", "left_anti").select(F.explode(F.array(F.concat("unitig", F.lit("+")), F.concat("unitig", F.lit("-")))).alias("start"))
+    one = F.lit(0).alias("gene")
+    seen = hops(edges.select(one, "u", "v"), open_.select(one, "start", F.col("start").alias("node")), ("gene", "start"), levels)
+    reached = seen.select(unitig_of(F.col("start")).alias("open"), unitig_of(F.col("node")).alias("unitig"))
+    votes = reached.join(bins, "unitig").join(lengths, "unitig").groupBy(F.col("open").alias("unitig"), "bin").agg(F.sum("len").alias("votes"))
     w = Window.partitionBy("unitig").orderBy(F.desc("votes"), "bin")
-    return votes.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    return votes.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("unitig").cast(kind).alias("unitig"), "bin", "votes")
 
 
 def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:

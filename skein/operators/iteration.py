@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -27,16 +27,50 @@ def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: df as a Parquet table in the shared folder."""
     path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def counted(df: DataFrame, **numbers: Column) -> tuple[DataFrame, dict]:
+    """df settled, and aggregates over its rows, which come with the job that writes it."""
+    seen = Observation()
+    return settle(df.observe(seen, *[c.alias(n) for n, c in numbers.items()])), seen.get
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_skein_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+#: Rows of a table up to which one task takes all of it: rounds on so few need no shuffle.
+FEW = 1 << 18
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df, a settled table of so many rows (or of so many at most, once what follows in the same job is done), as one partition if they are few."""
+    return df.coalesce(1) if rows <= FEW else df
+
+
+def in_steps(first: DataFrame, step: str, times: int, **tables: DataFrame) -> DataFrame:
+    """`times` steps as one query: step is SQL over {rows}, with {i} for the number of the step, and over the named tables. One statement is analysed once, whatever its length."""
+    names = {n: "{" + n + "}" for n in tables}
+    parts = [f"r{i + 1} AS ({step.format(rows=f'r{i}', i=i, **names)})" for i in range(times)]
+    return first.sparkSession.sql(f"WITH r0 AS (SELECT * FROM {{first}}), {', '.join(parts)} SELECT * FROM r{times}", first=first, **tables)
 
 
-#: A table of two ids a row goes out as a broadcast up to so many rows.
-SMALL = 2_000_000
+#: Bytes up to which a settled table goes out as a broadcast.
+SMALL = 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, a settled table of two ids a row, with a broadcast hint if its rows are few."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """df, a settled table, with a broadcast hint if the bytes of its values, counted now, are few."""
+    widths = [F.coalesce(F.octet_length(c), F.lit(0)) + 8 if t == "string" else F.lit(16) for c, t in df.dtypes]
+    held = df.agg(F.coalesce(F.sum(sum(widths, F.lit(8))), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= SMALL else df
 
 
 def ahead(step: DataFrame) -> DataFrame:

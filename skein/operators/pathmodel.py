@@ -385,14 +385,14 @@ def node_marginals(edges: DataFrame) -> DataFrame:
 
 
 def best_paths(edges: DataFrame, kind: str) -> DataFrame:
-    """(gene, path array, value) of edges (gene, u, v, weight). kind: map (highest product), heaviest (highest sum), shortest (lowest sum),
+    """(gene, path array, value) of edges (gene, u, v, weight). kind: map (highest product, of which value is the logarithm), heaviest (highest sum), shortest (lowest sum),
     widest (highest least weight)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         dag, edge, starts, ends = _model(pdf, kind == "map")
         none = np.full(len(dag.names), np.inf if kind == "widest" else 0.0)
         path, value = dag.best_path(none, edge, starts, ends, min if kind == "widest" else (lambda a, b: a + b), -1 if kind == "shortest" else 1)
-        return pd.DataFrame({"gene": [pdf["gene"].iloc[0]], "path": [path], "value": [float(np.exp(value)) if kind == "map" else value]})
+        return pd.DataFrame({"gene": [pdf["gene"].iloc[0]], "path": [path], "value": [value]})
 
     return edges.groupBy("gene").applyInPandas(run, edges.select("gene").schema.add("path", T.ArrayType(T.StringType())).add("value", "double"))
 

@@ -11,7 +11,7 @@ from skein.operators import coverage as cov
 from skein.operators import factors, flow, folds, graph, metrics, outliers, pathmodel, ranking
 
 from . import domain
-from .domain import COVERAGE, LAYERED, LINKS, PATHS, STEPS, table
+from .domain import COVERAGE, LAYERED, LINKS, STEPS, best_by_layer, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -344,18 +344,18 @@ def graph_tips(spark, d):
     return graph.tips(domain.links(spark, d).withColumn("gene", F.lit(0)), domain.unitigs(spark, d).withColumn("gene", F.lit(0)))
 
 
-@query(f"""WITH RECURSIVE {LAYERED}, r AS (SELECT DISTINCT gene, u AS node, 0 AS hops FROM layered WHERE u LIKE 'click%_1' UNION SELECT r.gene, v, hops + 1 FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node)
+@query(f"""WITH RECURSIVE {LAYERED}, r AS (SELECT DISTINCT gene, u AS node, 0 AS hops FROM layered WHERE u LIKE 'click%@_1' ESCAPE '@' UNION SELECT r.gene, v, hops + 1 FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node)
 SELECT gene, node, min(hops) AS hops FROM r GROUP BY 1, 2""")
 def reachable_nodes(spark, d):
     e = graph.settle(domain.layered(spark, d))
     return graph.reachable(e, e.where("u like 'click%\\_1'").select("gene", F.col("u").alias("node")))
 
 
-@query(f"""WITH RECURSIVE {LAYERED}, a AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_1' UNION SELECT a.gene, v FROM a JOIN layered l ON l.gene = a.gene AND l.u = a.node),
-b AS (SELECT DISTINCT gene, v AS node FROM layered WHERE v LIKE 'purchase%_5' UNION SELECT b.gene, u FROM b JOIN layered l ON l.gene = b.gene AND l.v = b.node) SELECT gene, node FROM a INTERSECT SELECT gene, node FROM b""")
+@query(f"""WITH RECURSIVE {LAYERED}, a AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%@_1' ESCAPE '@' UNION SELECT a.gene, v FROM a JOIN layered l ON l.gene = a.gene AND l.u = a.node),
+b AS (SELECT DISTINCT gene, v AS node FROM layered WHERE v LIKE 'purchase%' UNION SELECT b.gene, u FROM b JOIN layered l ON l.gene = b.gene AND l.v = b.node) SELECT gene, node FROM a INTERSECT SELECT gene, node FROM b""")
 def reachable_core(spark, d):
     e = graph.settle(domain.layered(spark, d))
-    return graph.core(e, e.where("u like '%\\_1'").select("gene", F.col("u").alias("node")), e.where("v like 'purchase%\\_5'").select("gene", F.col("v").alias("node")))
+    return graph.core(e, e.where("u like '%\\_1'").select("gene", F.col("u").alias("node")), e.where("v like 'purchase%'").select("gene", F.col("v").alias("node")))
 
 
 @query(f"""WITH RECURSIVE {BIGRAPH}, both_ AS (SELECT gene, u, v FROM e UNION SELECT gene, v, u FROM e),
@@ -367,7 +367,7 @@ def components(spark, d):
     return graph.components(graph.strand_rows(domain.link_rows(spark, d)))
 
 
-@query(f"""WITH RECURSIVE {LAYERED}, s AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_1'), r AS (SELECT gene, node AS start, node, 0 AS hops FROM s UNION SELECT r.gene, start, v, hops + 1 FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node),
+@query(f"""WITH RECURSIVE {LAYERED}, s AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%@_1' ESCAPE '@'), r AS (SELECT gene, node AS start, node, 0 AS hops FROM s UNION SELECT r.gene, start, v, hops + 1 FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node),
 m AS (SELECT gene, start, node, min(hops) AS hops FROM r GROUP BY 1, 2, 3), t AS (SELECT gene, node, count(*) AS n, sum(hops) AS total FROM m GROUP BY 1, 2), need AS (SELECT gene, count(*) AS k FROM s GROUP BY 1)
 SELECT gene, node, CAST(total AS BIGINT) AS total FROM (SELECT t.*, row_number() OVER (PARTITION BY t.gene ORDER BY total, node) AS q FROM t JOIN need ON t.gene = need.gene AND n = k) WHERE q = 1""")
 def lowest_common_descendant(spark, d):
@@ -400,22 +400,21 @@ def path_weights(spark, d):
     return graph.path_weights(e, domain.steps(spark, d).select("user_id", "pos", "node"), ["user_id"])
 
 
-@query(f"""WITH {LAYERED}, n AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_3') SELECT gene, node FROM n UNION SELECT l.gene, v FROM layered l JOIN n ON n.gene = l.gene AND n.node = u WHERE u NOT LIKE 'view%' UNION SELECT l.gene, u FROM layered l JOIN n ON n.gene = l.gene AND n.node = v WHERE v NOT LIKE 'view%'""")
+@query(f"""WITH {LAYERED}, n AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%@_3' ESCAPE '@') SELECT gene, node FROM n UNION SELECT l.gene, v FROM layered l JOIN n ON n.gene = l.gene AND n.node = u WHERE u NOT LIKE 'view%' UNION SELECT l.gene, u FROM layered l JOIN n ON n.gene = l.gene AND n.node = v WHERE v NOT LIKE 'view%'""")
 def connecting_nodes(spark, d):
     e = domain.layered(spark, d)
     nodes = e.where("u like '%\\_3'").select("gene", F.col("u").alias("node")).distinct()
     return graph.with_neighbours(e, nodes, nodes.where("node like 'view%'"))
 
 
-@query(f"""WITH {LINKS}, b AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), bins AS (SELECT p_partkey AS unitig, p_brand AS bin FROM part WHERE p_retailprice % 7 < 6),
-s AS (SELECT p_partkey AS start, p_partkey AS unitig FROM part WHERE NOT p_retailprice % 7 < 6), r1 AS (SELECT start, b.b AS unitig FROM s JOIN b ON a = unitig UNION SELECT * FROM s), r2 AS (SELECT start, b.b AS unitig FROM r1 JOIN b ON a = unitig UNION SELECT * FROM r1),
-v AS (SELECT start AS unitig, bin, sum(p_size) AS votes FROM r2 JOIN bins USING (unitig) JOIN part ON p_partkey = unitig GROUP BY 1, 2)
-SELECT unitig, bin, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY unitig ORDER BY votes DESC, bin) AS q FROM v) WHERE q = 1""")
+@query(f"""WITH {BIGRAPH}, g AS (SELECT DISTINCT u, v FROM e), bins AS (SELECT CAST(p_partkey AS VARCHAR) AS unitig, p_brand AS bin FROM part WHERE p_retailprice % 7 < 6),
+s AS (SELECT CAST(p_partkey AS VARCHAR) || unnest(['+', '-']) AS start FROM part WHERE NOT p_retailprice % 7 < 6), r1 AS (SELECT start, v AS node FROM s JOIN g ON u = start UNION SELECT start, start FROM s), r2 AS (SELECT start, v AS node FROM r1 JOIN g ON u = node UNION FROM r1),
+v AS (SELECT substr(start, 1, length(start) - 1) AS unitig, bin, sum(p_size) AS votes FROM r2 JOIN bins ON unitig = substr(node, 1, length(node) - 1) JOIN part ON CAST(p_partkey AS VARCHAR) = unitig GROUP BY 1, 2)
+SELECT CAST(unitig AS BIGINT) AS unitig, bin, CAST(votes AS BIGINT) AS votes FROM (SELECT *, row_number() OVER (PARTITION BY unitig ORDER BY votes DESC, bin) AS q FROM v) WHERE q = 1""")
 def bin_propagate(spark, d):
-    e = domain.links(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     part = table(spark, d, "part")
     bins = part.where("p_retailprice % 7 < 6").select(F.col("p_partkey").alias("unitig"), F.col("p_brand").alias("bin"))
-    return graph.propagate_bins(e, bins, domain.unitigs(spark, d).select("unitig", "len"), 2)
+    return graph.propagate_bins(_edges(spark, d), bins, domain.unitigs(spark, d).select("unitig", "len"), 2)
 
 
 # ---- sets, strings ----
@@ -471,13 +470,17 @@ def kc_correction(spark, d):
 # ---- paths ----
 
 
-@query(f"""WITH RECURSIVE {PATHS}, t AS (SELECT gene, sum(prod) AS z FROM paths GROUP BY 1), n AS (SELECT gene, unnest(path) AS node, prod FROM paths) SELECT n.gene, node, round(sum(prod) / any_value(z), 9) AS p FROM n JOIN t USING (gene) GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {best_by_layer("1.0::DOUBLE", "sum(r.x * weight)")},
+back AS (SELECT gene, node, 1.0::DOUBLE AS x FROM lasts UNION ALL SELECT l.gene, l.u, sum(r.x * weight) FROM back r JOIN layered l ON l.gene = r.gene AND l.v = r.node GROUP BY 1, 2),
+z AS (SELECT gene, sum(x) AS z FROM ended GROUP BY 1), b AS (SELECT gene, node, sum(x) AS x FROM back GROUP BY 1, 2)
+SELECT gene, node, round(best.x / z * b.x, 9) AS p FROM best JOIN b USING (gene, node) JOIN z USING (gene)""")
 def path_marginals(spark, d):
     return rounded(pathmodel.node_marginals(domain.layered(spark, d)), "p", digits=9)
 
 
-def _best(kind: str, order: str, value: str, wanted: str):
-    sql = f"WITH RECURSIVE {PATHS} SELECT gene, path, round({value}, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY {order}, path) AS r FROM paths) WHERE r = 1"
+def _best(kind: str, sign: str, wanted: str):
+    start, step = "struct_pack(cost := 0.0::DOUBLE, path := list_value(node))", f"min(struct_pack(cost := r.x.cost {sign} weight, path := list_append(r.x.path, l.v)))"
+    sql = f"WITH RECURSIVE {best_by_layer(start, step)}, w AS (SELECT gene, min(x) AS x FROM ended GROUP BY 1) SELECT gene, x.path AS path, round(0.0::DOUBLE {sign} x.cost, 6) AS value FROM w"
 
     def run(spark, d):
         return rounded(pathmodel.best_paths(domain.layered(spark, d), kind), "value")
@@ -486,21 +489,22 @@ def _best(kind: str, order: str, value: str, wanted: str):
     return query(sql)(run)
 
 
-_best("heaviest", "total DESC", "total", "heaviest_path")
-_best("shortest", "total", "total", "shortest_path")
+_best("heaviest", "-", "heaviest_path")
+_best("shortest", "+", "shortest_path")
 
 
-@query(f"WITH RECURSIVE {PATHS} SELECT gene, round(max(prod), 3) AS value FROM paths GROUP BY 1")
+@query(f"""WITH RECURSIVE {best_by_layer("0.0::DOUBLE", "max(r.x + ln(weight))")} SELECT gene, round(max(x), 6) AS value FROM ended GROUP BY 1""")
 def map_path(spark, d):
-    return rounded(pathmodel.best_paths(domain.layered(spark, d), "map").select("gene", "value"), "value", digits=3)
+    """The logarithm of the highest product."""
+    return rounded(pathmodel.best_paths(domain.layered(spark, d), "map").select("gene", "value"), "value")
 
 
-@query(f"WITH RECURSIVE {PATHS} SELECT gene, max(least) AS value FROM paths GROUP BY 1")
+@query(f"""WITH RECURSIVE {best_by_layer("'infinity'::DOUBLE", "max(least(r.x, weight))")} SELECT gene, max(x) AS value FROM ended GROUP BY 1""")
 def widest_path(spark, d):
     return pathmodel.best_paths(domain.layered(spark, d), "widest").select("gene", "value")
 
 
-@query(f"""WITH RECURSIVE {LAYERED}, r AS (SELECT gene, v AS node, weight AS distance FROM layered WHERE u = 'click_1' UNION SELECT r.gene, v, distance + weight FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node)
+@query(f"""WITH RECURSIVE {LAYERED}, r AS (SELECT gene, v AS node, weight AS distance FROM layered WHERE u = 'click_1' UNION ALL SELECT r.gene, v, min(distance + weight) FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node GROUP BY 1, 2)
 SELECT gene, node, min(distance) AS distance FROM (SELECT * FROM r UNION ALL SELECT DISTINCT gene, 'click_1', 0.0::DOUBLE FROM layered) GROUP BY 1, 2""")
 def shortest_distances(spark, d):
     return pathmodel.distances(domain.layered(spark, d), "click_1")
@@ -508,7 +512,7 @@ def shortest_distances(spark, d):
 
 @query()
 def path_samples(spark, d):
-    return pathmodel.path_samples(domain.layered(spark, d, None), 100, 23724839)
+    return pathmodel.path_samples(domain.layered(spark, d), 100, 23724839)
 
 
 @query("""SELECT l_orderkey % 8 AS gene, 's' || l_orderkey AS source, 't' || l_orderkey AS sink,
@@ -532,13 +536,13 @@ def cycle_removal(spark, d):
 
 @query()
 def flow_decompose(spark, d):
-    e = domain.layered(spark, d, None).union(domain.ends(spark, d))
+    e = domain.layered(spark, d).union(domain.ends(spark, d))
     return flow.flow_paths(e.select("gene", "u", "v", F.col("weight").alias("flow")))
 
 
 @query()
 def flow_normalise(spark, d):
-    e = domain.layered(spark, d, None)
+    e = domain.layered(spark, d)
     got = e.groupBy("gene", "v").agg(F.sum("weight").alias("target"))
     outer = domain.ends(spark, d).select("gene", "u", "v", F.lit(None).cast("double").alias("target"))
     return flow.normalised_flows(e.select("gene", "u", "v").join(got, ["gene", "v"]).select("gene", "u", "v", "target").union(outer))
@@ -597,9 +601,9 @@ def joined_graphs(spark, d):
 def _community(spark, d):
     """The layered event graph as two communities of four genes: a segment's count in a sample is the number of users there."""
     signed = lambda n: F.when(F.col(n).isin("source+", "sink+"), F.col(n)).otherwise(F.concat(n, F.lit("+"))).alias(n)
-    e = domain.layered(spark, d, None).union(domain.ends(spark, d)).select("gene", signed("u"), signed("v"))
+    e = domain.layered(spark, d).union(domain.ends(spark, d)).select("gene", signed("u"), signed("v"))
     edges = e.withColumn("community", F.col("gene") % 2)
-    counts = domain.steps(spark, d, None).groupBy((F.col("gene") % 2).alias("community"), "gene", F.col("node").alias("unitig"), (F.col("user_id") % 10).alias("sample")).agg(F.count("*").alias("x"))
+    counts = domain.steps(spark, d).groupBy((F.col("gene") % 2).alias("community"), "gene", F.col("node").alias("unitig"), (F.col("user_id") % 10).alias("sample")).agg(F.count("*").alias("x"))
     return edges, counts.withColumn("len", F.lit(10.0))
 
 

@@ -1,5 +1,5 @@
 """The star-schema tables as domain tables: segment = part, gene = brand, sample = supplier's nation, coverage = summed quantity; and a
-layered graph of each user's first events."""
+layered graph of each user's events."""
 
 from __future__ import annotations
 
@@ -24,24 +24,33 @@ def unitigs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("unitig"), F.col("p_size").alias("len"))
 
 
-def steps(spark: SparkSession, d: str, depth: int | None = 5) -> DataFrame:
-    """(gene, user_id, pos, node): each user's first `depth` events by time (None: all), as nodes type_rank; a gene is an eighth of the users."""
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """(gene, user_id, pos, node): each user's events by time, as nodes type_rank; a gene is an eighth of the users."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type").withColumn("pos", F.row_number().over(w))
-    e = e if depth is None else e.where(F.col("pos") <= depth)
     return e.select((F.col("user_id") % 8).alias("gene"), "user_id", "pos", F.concat_ws("_", "event_type", "pos").alias("node"))
 
 
-def layered(spark: SparkSession, d: str, depth: int | None = 5) -> DataFrame:
+def layered(spark: SparkSession, d: str) -> DataFrame:
     """(gene, u, v, weight): transitions between layers with their counts."""
     w = Window.partitionBy("user_id").orderBy("pos")
-    e = steps(spark, d, depth).withColumn("v", F.lead("node").over(w)).where("v is not null")
+    e = steps(spark, d).withColumn("v", F.lead("node").over(w)).where("v is not null")
     return e.groupBy("gene", F.col("node").alias("u"), "v").agg(F.count("*").cast("double").alias("weight"))
 
 
+def firsts(edges: DataFrame) -> DataFrame:
+    """(gene, node): the nodes of the first layer that have successors."""
+    return edges.where("u like '%\\_1'").select("gene", F.col("u").alias("node")).distinct()
+
+
+def lasts(edges: DataFrame) -> DataFrame:
+    """(gene, node): nodes without successors."""
+    return edges.select("gene", F.col("v").alias("node")).subtract(edges.select("gene", "u"))
+
+
 def ends(spark: SparkSession, d: str) -> DataFrame:
     """(gene, u, v, weight): edges from source+ to the first and from the last of all events of each user, with their counts."""
-    e = steps(spark, d, None)
+    e = steps(spark, d)
     last = e.groupBy("gene", "user_id").agg(F.max_by("node", "pos").alias("u")).select("gene", "u", F.lit("sink+").alias("v"))
     both = e.where("pos = 1").select("gene", F.lit("source+").alias("u"), F.col("node").alias("v")).union(last)
     return both.groupBy("gene", "u", "v").agg(F.count("*").cast("double").alias("weight"))
@@ -68,7 +77,7 @@ COVERAGE = """cov AS (
 
 STEPS = """steps AS (
   SELECT user_id % 8 AS gene, user_id, pos, event_type || '_' || pos AS node
-  FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events) WHERE pos <= 5)"""
+  FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events))"""
 
 LAYERED = (
     STEPS
@@ -82,15 +91,17 @@ LINKS = """links AS (
   FROM (SELECT l_orderkey, l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem)
   WHERE dst IS NOT NULL AND dst <> l_partkey)"""
 
-#: All paths of the layered graph, from nodes without in-edges to nodes without out-edges, with product, sum and least weight.
-PATHS = (
+#: Ends of the layered graph: nodes of the first layer, and nodes without successors.
+ENDS = (
     LAYERED
-    + """, walk AS (
-  SELECT gene, u AS first, v AS at, list_value(u, v) AS path, weight AS prod, weight AS total, weight AS least FROM layered e
-  WHERE NOT EXISTS (SELECT 1 FROM layered i WHERE i.gene = e.gene AND i.v = e.u)
-  UNION ALL
-  SELECT w.gene, w.first, e.v, list_append(w.path, e.v), w.prod * e.weight, w.total + e.weight, least(w.least, e.weight)
-  FROM walk w JOIN layered e ON e.gene = w.gene AND e.u = w.at
-), paths AS (
-  SELECT * FROM walk w WHERE NOT EXISTS (SELECT 1 FROM layered e WHERE e.gene = w.gene AND e.u = w.at))"""
+    + """, firsts AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%@_1' ESCAPE '@'),
+lasts AS (SELECT gene, v AS node FROM layered EXCEPT SELECT gene, u FROM layered)"""
 )
+
+
+def best_by_layer(start: str, step: str) -> str:
+    """The best value of all paths from the first layer to each node, one layer a round: start is the value of a first node, step the aggregate over the edges l
+    from values r.x."""
+    return f"""{ENDS}, best AS (SELECT gene, node, {start} AS x FROM firsts
+  UNION ALL SELECT l.gene, l.v, {step} FROM best r JOIN layered l ON l.gene = r.gene AND l.u = r.node GROUP BY 1, 2),
+ended AS (SELECT gene, node, x FROM best JOIN lasts USING (gene, node))"""

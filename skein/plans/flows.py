@@ -9,7 +9,7 @@ from skein.operators import factorgraph, flow, graph, metrics, pathmodel
 
 from . import domain
 from .catalogue import BIGRAPH, CELLS, _cells, _edges, query, rounded
-from .domain import LAYERED, table
+from .domain import ENDS, LAYERED, table
 
 SLOPES = LAYERED + ", slopes AS (SELECT gene, v AS node, sum(weight) - 20 AS slope FROM layered GROUP BY 1, 2), flows AS (SELECT gene, u, v, v AS through, weight AS flow FROM layered)"
 WHOLE = """whole AS (SELECT user_id % 8 AS gene, user_id, pos, event_type || '_' || pos AS node FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)),
@@ -61,7 +61,7 @@ def flow_divergence(spark, d):
 @query(f"""WITH {WHOLE} SELECT gene, u, v, CAST(count(*) AS DOUBLE) AS flow FROM carried GROUP BY 1, 2, 3""")
 def flow_recompose(spark, d):
     """The paths of the decomposition, put together again: all of the flow."""
-    e = domain.layered(spark, d, None).union(domain.ends(spark, d))
+    e = domain.layered(spark, d).union(domain.ends(spark, d))
     paths = flow.flow_paths(e.select("gene", "u", "v", F.col("weight").alias("flow")))
     pairs = F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("u"), F.slice("path", 2, F.size("path") - 1).alias("v")))
     steps = paths.select("gene", "amount", pairs.alias("e")).select("gene", "amount", F.col("e.u").alias("u"), F.col("e.v").alias("v"))
@@ -71,7 +71,7 @@ def flow_recompose(spark, d):
 @query(f"""WITH {WHOLE}, n AS (SELECT user_id % 8 AS gene, count(DISTINCT user_id) AS k FROM events GROUP BY 1) SELECT gene, CAST(k AS DOUBLE) AS total FROM n""")
 def flow_total(spark, d):
     """What the decomposed paths of each gene carry in all: one unit for each user."""
-    e = domain.layered(spark, d, None).union(domain.ends(spark, d))
+    e = domain.layered(spark, d).union(domain.ends(spark, d))
     return flow.widest_paths_of(e.select("gene", "u", "v", F.col("weight").alias("flow")), 1 << 30, 0.0).groupBy("gene").agg(F.round(F.sum("amount"), 6).alias("total"))
 
 
@@ -136,11 +136,10 @@ def draws(spark, d):
 # ---- graphs ----
 
 
-@query(f"""WITH {BIGRAPH}, n AS (SELECT gene, u AS node FROM e UNION SELECT gene, v FROM e) SELECT gene, node FROM n WHERE CAST(substr(node, 1, length(node) - 1) AS BIGINT) <= 100""")
+@query(f"""WITH {BIGRAPH}, n AS (SELECT gene, u AS node FROM e UNION SELECT gene, v FROM e) SELECT gene, node FROM n""")
 def strands_present(spark, d):
-    few = domain.unitigs(spark, d).where("unitig <= 100").drop("gene")
-    genes = domain.links(spark, d).select("gene").distinct()
-    return graph.strands(_edges(spark, d), few.join(F.broadcast(genes)).select("gene", "unitig"))  # five genes
+    links = domain.links(spark, d)
+    return graph.strands(_edges(spark, d), links.select("gene", F.col("src").alias("unitig")).union(links.select("gene", "dst")).distinct())
 
 
 @query(f"""WITH {LAYERED} SELECT gene, u, v, weight FROM layered WHERE u NOT LIKE 'view%' AND v NOT LIKE 'view%'""")
@@ -150,16 +149,16 @@ def induced_subgraph(spark, d):
     return graph.subgraph(e, nodes)
 
 
-@query(f"""WITH {LAYERED}, f AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_1'), t AS (SELECT DISTINCT gene, v AS node FROM layered WHERE v LIKE '%_5')
+@query(f"""WITH {ENDS}, f AS (FROM firsts), t AS (FROM lasts)
 SELECT gene || '/' || u AS u, gene || '/' || v AS v FROM layered UNION SELECT gene || '/' || node, 'connect_' || gene || '+' FROM t WHERE gene < 7 UNION SELECT 'connect_' || (gene - 1) || '+', gene || '/' || node FROM f WHERE gene > 0""")
 def chained_graph(spark, d):
     e = domain.layered(spark, d)
     order = e.select("gene", F.col("gene").alias("place")).distinct()
-    return graph.chained(e, order, e.where("u like '%\\_1'").select("gene", F.col("u").alias("node")).distinct(), e.where("v like '%\\_5'").select("gene", F.col("v").alias("node")).distinct())
+    return graph.chained(e, order, domain.firsts(e), domain.lasts(e))
 
 
 def _common(u: str, v: str, role: str) -> str:
-    return f"""{role}_s AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_3'), {role}_r AS (SELECT gene, node AS start, node, 0 AS hops FROM {role}_s UNION SELECT r.gene, start, {v}, hops + 1 FROM {role}_r r JOIN layered l ON l.gene = r.gene AND l.{u} = r.node),
+    return f"""{role}_s AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%@_3' ESCAPE '@'), {role}_r AS (SELECT gene, node AS start, node, 0 AS hops FROM {role}_s UNION SELECT r.gene, start, {v}, hops + 1 FROM {role}_r r JOIN layered l ON l.gene = r.gene AND l.{u} = r.node),
 {role}_m AS (SELECT gene, start, node, min(hops) AS hops FROM {role}_r GROUP BY 1, 2, 3), {role}_t AS (SELECT gene, node, count(*) AS n, sum(hops) AS total FROM {role}_m GROUP BY 1, 2), {role}_k AS (SELECT gene, count(*) AS k FROM {role}_s GROUP BY 1),
 {role}_b AS (SELECT t.gene, node, row_number() OVER (PARTITION BY t.gene ORDER BY total, node) AS q FROM {role}_t t JOIN {role}_k k ON t.gene = k.gene AND n = k.k)"""
 
@@ -170,12 +169,12 @@ def common_ends(spark, d):
     return graph.common_ends(e, e.where("u like '%\\_3'").select("gene", F.col("u").alias("node")).distinct())
 
 
-@query(f"""WITH RECURSIVE {LAYERED}, t AS (SELECT gene, u AS node FROM layered WHERE u LIKE '%_1' UNION SELECT gene, v FROM layered WHERE v LIKE '%_5'),
-r AS (SELECT gene, node AS start, node, 0.0::DOUBLE AS distance FROM t UNION SELECT r.gene, start, v, distance + weight FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node)
+@query(f"""WITH RECURSIVE {ENDS}, t AS (FROM firsts UNION FROM lasts),
+r AS (SELECT gene, node AS start, node, 0.0::DOUBLE AS distance FROM t UNION ALL SELECT r.gene, start, v, min(distance + weight) FROM r JOIN layered l ON l.gene = r.gene AND l.u = r.node GROUP BY 1, 2, 3)
 SELECT gene, start, node, min(distance) AS distance FROM r WHERE (gene, node) IN (SELECT gene, node FROM t) GROUP BY 1, 2, 3""")
 def tip_distances(spark, d):
     e = domain.layered(spark, d)
-    tips = e.where("u like '%\\_1'").select("gene", F.col("u").alias("node")).union(e.where("v like '%\\_5'").select("gene", "v")).distinct()
+    tips = domain.firsts(e).union(domain.lasts(e)).distinct()
     return pathmodel.all_distances(e, tips)
 
 

@@ -152,14 +152,14 @@ def _read(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path)
 
 
-@query(f"""WITH RECURSIVE {LAYERED}, a AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%_1' UNION SELECT a.gene, v FROM a JOIN layered l ON l.gene = a.gene AND l.u = a.node),
-b AS (SELECT DISTINCT gene, v AS node FROM layered WHERE v LIKE 'purchase%_5' UNION SELECT b.gene, u FROM b JOIN layered l ON l.gene = b.gene AND l.v = b.node), n AS (SELECT * FROM a INTERSECT SELECT * FROM b)
+@query(f"""WITH RECURSIVE {LAYERED}, a AS (SELECT DISTINCT gene, u AS node FROM layered WHERE u LIKE '%@_1' ESCAPE '@' UNION SELECT a.gene, v FROM a JOIN layered l ON l.gene = a.gene AND l.u = a.node),
+b AS (SELECT DISTINCT gene, v AS node FROM layered WHERE v LIKE 'purchase%' UNION SELECT b.gene, u FROM b JOIN layered l ON l.gene = b.gene AND l.v = b.node), n AS (SELECT * FROM a INTERSECT SELECT * FROM b)
 SELECT 'node' AS kind, count(*) AS n FROM n UNION ALL SELECT 'edge', count(*) FROM layered l WHERE (gene, u) IN (SELECT gene, node FROM n) AND (gene, v) IN (SELECT gene, node FROM n)
 UNION ALL SELECT 'named', (SELECT count(*) FROM n) + count(*) FROM layered l WHERE (gene, u) IN (SELECT gene, node FROM n) AND (gene, v) IN (SELECT gene, node FROM n)""")
 def graph_tables_sink(spark, d):
     e = domain.layered(spark, d)
     path = shared_path(spark, "graph")
-    writers.graph_tables(e, domain.coverage(spark, d).select(F.col("unitig").cast("string").alias("unitig"), "sample", "cov"), e.where("u like '%\\_1'").select("gene", F.col("u").alias("node")), e.where("v like 'purchase%\\_5'").select("gene", F.col("v").alias("node")), path)
+    writers.graph_tables(e, domain.coverage(spark, d).select(F.col("unitig").cast("string").alias("unitig"), "sample", "cov"), e.where("u like '%\\_1'").select("gene", F.col("u").alias("node")), e.where("v like 'purchase%'").select("gene", F.col("v").alias("node")), path)
     count = lambda kind, df: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     nodes, edges = _read(spark, f"{path}/nodes.csv", "id long, node string"), _read(spark, f"{path}/edges.csv", "a long, b long")
     joined = edges.join(nodes.select(F.col("id").alias("a")), "a").join(nodes.select(F.col("id").alias("b")), "b")

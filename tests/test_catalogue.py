@@ -91,9 +91,20 @@ def test_components_rounds_write_ids_only(spark, monkeypatch):
 def test_bin_propagation_takes_the_heaviest_neighbours(spark):
     from skein.operators import graph
 
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")], "a string, b string")
+    one = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]
+    edges = spark.createDataFrame([(f"{a}+", f"{b}+") for a, b in one] + [(f"{b}-", f"{a}-") for a, b in one], "u string, v string")
     bins = spark.createDataFrame([("a", 1), ("d", 2)], "unitig string, bin int")
     lengths = spark.createDataFrame([("a", 10), ("b", 1), ("c", 1), ("d", 30), ("e", 1)], "unitig string, len int")
     got = {r.unitig: (r.bin, r.votes) for r in graph.propagate_bins(edges, bins, lengths, 2).collect()}
     assert got == {"b": (2, 30), "c": (2, 30), "e": (2, 30)}
     assert {r.unitig: r.bin for r in graph.propagate_bins(edges, bins, lengths, 1).collect()} == {"b": 1, "c": 2, "e": 2}
+
+
+def test_bin_walks_leave_a_segment_at_its_other_end(spark):
+    from skein.operators import graph
+
+    links = [("p+", "x+"), ("x-", "p-"), ("q+", "x+"), ("x-", "q-"), ("x+", "y+"), ("y-", "x-")]  # p and q both enter x at its start
+    edges = spark.createDataFrame(links, "u string, v string")
+    bins = spark.createDataFrame([("q", 1), ("y", 2)], "unitig string, bin int")
+    lengths = spark.createDataFrame([(n, 5 if n == "y" else 90) for n in "pqxy"], "unitig string, len int")
+    assert {r.unitig: (r.bin, r.votes) for r in graph.propagate_bins(edges, bins, lengths).collect()} == {"p": (2, 5), "x": (1, 90)}
