@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, flows, graphs, round_trips  # noqa: F401
+from . import catalogue, flows, graphs, round_trips, smoothing  # noqa: F401
 
 QUERIES = catalogue.QUERIES
 ORACLES = catalogue.ORACLES
