@@ -22,7 +22,7 @@ def gfa(unitigs: DataFrame, links: DataFrame, path: str, colors: DataFrame | Non
     twin = F.struct(F.col("dst").alias("src"), (~F.col("dst_fwd")).alias("src_fwd"), F.col("src").alias("dst"), (~F.col("src_fwd")).alias("dst_fwd"))
     once = links.select("gene", F.least(ahead, twin).alias("l"), "overlap").distinct().select("l.*", "overlap")
     lines = once.select(F.lit(1).alias("o"), F.concat_ws("\t", F.lit("L"), "src", sign("src_fwd"), "dst", sign("dst_fwd"), F.concat("overlap", F.lit("M"))).alias("value"))
-    s.union(lines).repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(path)
+    s.union(lines).repartitionByRange("o", "value").sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
 
 
 def coverage(cov: DataFrame, path: str, sep: str = ",") -> None:
@@ -70,7 +70,7 @@ def graph_tables(edges: DataFrame, cov: DataFrame, sources: DataFrame, sinks: Da
     body = held.select(F.lit(1).alias("o"), F.concat(F.lit('<node id="'), "node", F.lit('"/>')).alias("value"))
     body = body.union(kept.select(F.lit(2).alias("o"), F.concat(F.lit('<edge source="'), "u", F.lit('" target="'), "v", F.lit('"/>')).alias("value")))
     whole = line(0, ["\n".join(head)]).union(body).union(line(3, ["</graph>\n</graphml>"]))
-    whole.repartitionByRange("o").sortWithinPartitions("o").select("value").write.mode("overwrite").text(f"{path}/graph.graphml")
+    whole.repartitionByRange("o", "value").sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(f"{path}/graph.graphml")
 
 
 def factor_graphs(edges: DataFrame, weights: DataFrame, path: str) -> None:
