@@ -78,3 +78,9 @@ def exact_assignments(hits: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def with_default(rows: DataFrame, lookup: DataFrame, key: str, value: str, default) -> DataFrame:
     return rows.join(lookup.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def path_uncertainty(paths: DataFrame, marginals: DataFrame) -> DataFrame:
+    """(g, uncertainty): the mean of 1 - p over the nodes of all paths (gene, g, node) of each strain; marginals: (gene, g, node, p), 0 where a node has none."""
+    met = paths.select("gene", "g", "node").distinct().join(marginals, ["gene", "g", "node"], "left")
+    return met.groupBy("g").agg(F.avg(1 - F.coalesce("p", F.lit(0.0))).alias("uncertainty"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import graph, metrics, ranking, smoothing  # noqa: F401
+from skein.operators import folds, graph, metrics, pathmodel, ranking, smoothing
 
 from . import domain
 from .catalogue import CELLS, _cells, query, rounded
-from .domain import COVERAGE, table
+from .domain import COVERAGE, ENDS, LAYERED, best_by_layer, table
 
 TOTALS = f"""{COVERAGE}, t AS (SELECT unitig, sum(cov) AS c FROM cov GROUP BY 1), pts AS (SELECT CAST(p_retailprice AS DOUBLE) AS x, CAST(coalesce(c, 0) AS DOUBLE) AS y FROM part LEFT JOIN t ON unitig = p_partkey)"""
 
@@ -109,3 +109,44 @@ def factorised_cells(spark, d):
     w = cells.select("v", k).distinct().withColumn("a", 1 + (F.col("v") * (F.col("k") + 2)) % 7 / 7.0)
     h = cells.select(k, "s").distinct().withColumn("b", 1 + (F.col("s") * (F.col("k") + 3)) % 5 / 5.0)
     return rounded(smoothing.factorised(cells, w, h, 3)[0].select("v", "k", "a"), "a")
+
+
+@query(f"""WITH {_MODEL}, f AS (SELECT v, s, any_value(x) AS x, any_value(len) AS len, any_value(theta) AS theta, any_value(theta2) AS theta2, sum(phi * gamma) AS lam, sum(phi * phi * gamma * gamma) AS own, sum(phi2 * gamma2) AS second FROM model GROUP BY 1, 2)
+SELECT v, s, round(power(x - len * theta * lam, 2) + len * len * (theta2 * second - theta * theta * own), 5) AS err2 FROM f""")
+def expected_square_errors(spark, d):
+    m = _model(spark, d).groupBy("v", "s").agg(*[F.first(c).alias(c) for c in ("x", "len", "theta", "theta2")], F.sum(F.col("phi") * F.col("gamma")).alias("lam"), F.sum((F.col("phi") * F.col("gamma")) ** 2).alias("own"), F.sum(F.col("phi2") * F.col("gamma2")).alias("second"))
+    return m.select("v", "s", F.round(metrics.expected_square_error(*[F.col(c) for c in ("x", "len", "theta", "theta2", "lam", "own", "second")]), 5).alias("err2"))
+
+
+@query(f"""WITH RECURSIVE {best_by_layer("1.0::DOUBLE", "sum(r.x * weight)")},
+back AS (SELECT gene, node, 1.0::DOUBLE AS x FROM lasts UNION ALL SELECT l.gene, l.u, sum(r.x * weight) FROM back r JOIN layered l ON l.gene = r.gene AND l.v = r.node GROUP BY 1, 2),
+z AS (SELECT gene, sum(x) AS z FROM ended GROUP BY 1), b AS (SELECT gene, node, sum(x) AS x FROM back GROUP BY 1, 2), p AS (SELECT gene, node, best.x / z * b.x AS p FROM best JOIN b USING (gene, node) JOIN z USING (gene)),
+top AS (SELECT gene, node, struct_pack(cost := 0.0::DOUBLE, path := list_value(node)) AS x FROM firsts UNION ALL SELECT l.gene, l.v, min(struct_pack(cost := r.x.cost - weight, path := list_append(r.x.path, l.v))) FROM top r JOIN layered l ON l.gene = r.gene AND l.u = r.node GROUP BY 1, 2),
+path AS (SELECT gene, unnest(min(x).path) AS node FROM top JOIN lasts USING (gene, node) GROUP BY 1)
+SELECT gene AS g, round(avg(1 - p), 6) AS uncertainty FROM path JOIN p USING (gene, node) GROUP BY 1""")
+def path_uncertainty(spark, d):
+    """How far the nodes of each gene's heaviest path are from certain."""
+    e = domain.layered(spark, d)
+    paths = pathmodel.best_paths(e, "heaviest").select(F.lit(0).alias("gene"), F.col("gene").alias("g"), F.explode("path").alias("node"))
+    p = pathmodel.node_marginals(e).select(F.lit(0).alias("gene"), F.col("gene").alias("g"), "node", "p")
+    return rounded(ranking.path_uncertainty(paths, p), "uncertainty")
+
+
+@query(f"""WITH {LAYERED}, w AS (SELECT u, v, sum(weight) AS flow FROM layered GROUP BY 1, 2), p AS (SELECT u, v, count(*) AS n FROM (SELECT user_id, node AS u, lead(node) OVER (PARTITION BY user_id ORDER BY pos) AS v FROM steps) WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT w.u, w.v, greatest(flow - 0.25::DOUBLE * coalesce(n, 0), 0) AS flow FROM w LEFT JOIN p ON p.u = w.u AND p.v = w.v""")
+def path_flow_taken(spark, d):
+    """The transitions' counts less a quarter for each user's way, none below zero."""
+    flows = domain.layered(spark, d).groupBy("u", "v").agg(F.sum("weight").alias("flow"))
+    return graph.add_path_flow(flows, domain.steps(spark, d).select("user_id", "pos", "node"), ["user_id"], -0.25)
+
+
+@query(f"""WITH {COVERAGE} SELECT unitig AS v, sample AS s, CAST('0x' || substr(md5(unitig || ':' || sample), 1, 8) AS BIGINT) % 1000000 < 100000 AS held FROM cov""")
+def held_out(spark, d):
+    return folds.hold_out(domain.coverage(spark, d).select(F.col("unitig").alias("v"), F.col("sample").alias("s")), 0.1, ["v", "s"])
+
+
+@query(f"""WITH {ENDS} SELECT gene, u, v FROM layered UNION SELECT gene, 'source+', node FROM firsts UNION SELECT gene, node, 'sink+' FROM lasts""")
+def rooted_graph(spark, d):
+    """The layered events between a source before the first layer and a sink behind what leads nowhere."""
+    e = graph.settle(domain.layered(spark, d))
+    return graph.rooted(e, domain.firsts(e), domain.lasts(e))

@@ -195,3 +195,10 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "gene int, start string, node string, sample int, cov double, path int, pos int, len int, source string, sink string")
     assert wavefront.ego_graphs(e, none, 5).count() == wavefront.ego_core(e, none, 5).count() == wavefront.strong_components(e).count() == wavefront.acyclic(e).count() == 0
     assert wavefront.sample_paths(e, none).count() == wavefront.bubble_chains(none).count() == wavefront.extended_paths(e, none, none, 5).count() == graph.hops(e, none).count() == 0
+
+
+def test_flow_along_paths_stays_above_zero(spark):
+    flows = spark.createDataFrame([("a", "b", 3.0), ("b", "c", 1.0), ("c", "d", 2.0)], "u string, v string, flow double")
+    paths = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a"), (2, 2, "b")], "path int, pos int, node string")
+    got = {(r.u, r.v): r.flow for r in graph.add_path_flow(flows, paths, ["path"], -1.25).collect()}
+    assert got == {("a", "b"): 0.5, ("b", "c"): 0.0, ("c", "d"): 2.0}
