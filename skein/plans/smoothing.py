@@ -112,10 +112,10 @@ def factorised_cells(spark, d):
 
 
 @query(f"""WITH {_MODEL}, f AS (SELECT v, s, any_value(x) AS x, any_value(len) AS len, any_value(theta) AS theta, any_value(theta2) AS theta2, sum(phi * gamma) AS lam, sum(phi * phi * gamma * gamma) AS own, sum(phi2 * gamma2) AS second FROM model GROUP BY 1, 2)
-SELECT v, s, round(power(x - len * theta * lam, 2) + len * len * (theta2 * second - theta * theta * own), 5) AS err2 FROM f""")
+SELECT v, s, round(power(x - len * theta * lam, 2) + len * len * (theta2 * second - theta * theta * own), 7) AS err2 FROM f""")
 def expected_square_errors(spark, d):
     m = _model(spark, d).groupBy("v", "s").agg(*[F.first(c).alias(c) for c in ("x", "len", "theta", "theta2")], F.sum(F.col("phi") * F.col("gamma")).alias("lam"), F.sum((F.col("phi") * F.col("gamma")) ** 2).alias("own"), F.sum(F.col("phi2") * F.col("gamma2")).alias("second"))
-    return m.select("v", "s", F.round(metrics.expected_square_error(*[F.col(c) for c in ("x", "len", "theta", "theta2", "lam", "own", "second")]), 5).alias("err2"))
+    return m.select("v", "s", F.round(metrics.expected_square_error(*[F.col(c) for c in ("x", "len", "theta", "theta2", "lam", "own", "second")]), 7).alias("err2"))
 
 
 @query(f"""WITH RECURSIVE {best_by_layer("1.0::DOUBLE", "sum(r.x * weight)")},
