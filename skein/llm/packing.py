@@ -17,8 +17,8 @@ from . import common
 
 #: Penalties in tokens of padding: for each sequence, for a cut where a sentence of a document ends, for one elsewhere in it.
 SEQUENCE, SENTENCE, WITHIN = 8, 8, 64
-#: Where no sentence ends within so many tokens, cuts may also fall after each of as many.
-STRETCH = 128
+#: Where no sentence ends within this share of a window, one sixteenth, cuts may also fall after each of as many tokens.
+STRETCH = 16
 #: Tokens after which a run of documents is cut into windows; the last window is left open for the next run.
 RUN = 1 << 19
 #: Chunks of text whose ids a worker keeps, chunks that go to the tokenizer at once, and bytes of texts that are cut into chunks at once.
@@ -196,7 +196,7 @@ def _packer(path: str, by_chunk: bool, end_id: int, length: int, penalties: tupl
             sizes = np.array([t for _, t in docs], np.int64)
             ends = np.cumsum(sizes) - skipped
             inside = np.flatnonzero(encode.ends[ids]) + 1
-            ends_ = np.array(windows(*(x.tolist() for x in cuts(ends, inside, len(ids), penalties[1:], min(STRETCH, length))), length, penalties[0]), np.int64)
+            ends_ = np.array(windows(*(x.tolist() for x in cuts(ends, inside, len(ids), penalties[1:], max(1, length // STRETCH))), length, penalties[0]), np.int64)
             if not last:
                 ends_ = ends_[:-1]
             done = int(ends_[-1]) if len(ends_) else 0
