@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.sequence import node_name, reverse_node, unitig_of
 
-from .iteration import FEW, ahead, counted, discard, in_steps, narrow, roots, settle, small
+from .iteration import FEW, ahead, counted, discard, in_steps, narrow, roots, settle, small, union_of
 
 
 def strand_rows(links: DataFrame) -> DataFrame:
@@ -80,17 +80,10 @@ def hops(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ("gene",),
         seen.append(table)
         if len(seen) > 8:
             before = seen
-            seen = [settle(_union(before))]
+            seen = [settle(union_of(before))]
             front = seen[0].where(F.col("hops") == hop)
             discard(*before)
-    return _union(seen)
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
+    return union_of(seen)
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -23,15 +23,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a settled table beyond which joins shuffle it. Spark judges a table by the bytes of its files, which may be a fortieth of what it takes as a broadcast.
+BROADCAST_ROWS = 1 << 16
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: df as a Parquet table in the shared folder."""
-    path = shared_path(df.sparkSession, "round")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._skein_path = path
+    """Cut the lineage: df as a Parquet table in the shared folder. It goes out as a broadcast only with few rows, or by `small`."""
+    path, seen = shared_path(df.sparkSession, "round"), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out, rows = df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+    out = out.hint("merge") if rows > BROADCAST_ROWS else out
+    out._skein_path, out._skein_rows = path, rows
     return out
 
 
+def union_of(tables: list[DataFrame]) -> DataFrame:
+    """All rows of settled tables, shuffled in joins if they are many together."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out.hint("merge") if sum(getattr(t, "_skein_rows", 0) for t in tables) > BROADCAST_ROWS else out
+
+
 def counted(df: DataFrame, **numbers: Column) -> tuple[DataFrame, dict]:
     """df settled, and aggregates over its rows, which come with the job that writes it."""
     seen = Observation()

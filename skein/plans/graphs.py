@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.sequence import unitig_of
-from skein.operators import pathmodel, wavefront
+from skein.operators import graph, pathmodel, wavefront
 
 from . import domain
 from .catalogue import BIGRAPH, _edges, query
@@ -161,7 +161,7 @@ def _chained(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     li = li.select(F.col("o_custkey").alias("gene"), F.row_number().over(w).alias("pos"), "l_orderkey", "l_returnflag", (F.col("p_size") + OVERLAP).alias("len"))
     w, name = Window.partitionBy("gene").orderBy("pos"), lambda c: F.concat(F.lit("s"), c.cast("string"))
-    nodes = li.withColumns({"p1": F.lead("pos").over(w), "p2": F.lead("pos", 2).over(w), "node": name(F.col("pos"))})
+    nodes = graph.settle(li.withColumns({"p1": F.lead("pos").over(w), "p2": F.lead("pos", 2).over(w), "node": name(F.col("pos"))}))
     e = nodes.where("p1 is not null").select("gene", F.col("node").alias("u"), name(F.col("p1")).alias("v")).union(nodes.where("p2 is not null and l_returnflag = 'R'").select("gene", "node", name(F.col("p2"))))
     ends = nodes.groupBy("gene", F.col("l_orderkey").alias("path")).agg(F.max(F.struct("pos", "node", "len")).alias("last"), F.min(F.struct("pos", "node")).alias("first"))
     return e, ends, nodes.select("gene", "node", "len")

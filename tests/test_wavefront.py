@@ -202,3 +202,12 @@ def test_flow_along_paths_stays_above_zero(spark):
     paths = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a"), (2, 2, "b")], "path int, pos int, node string")
     got = {(r.u, r.v): r.flow for r in graph.add_path_flow(flows, paths, ["path"], -1.25).collect()}
     assert got == {("a", "b"): 0.5, ("b", "c"): 0.0, ("c", "d"): 2.0}
+
+
+def test_settled_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    """Files of a few bytes a row lie under Spark's threshold long after their rows, as a broadcast, fill the driver."""
+    monkeypatch.setattr(iteration, "BROADCAST_ROWS", 1000)
+    plan = lambda left, right: left.join(right, "id", "left")._jdf.queryExecution().executedPlan().toString()
+    many, few = iteration.settle(spark.range(1001)), iteration.settle(spark.range(1000))
+    assert "BroadcastHashJoin" not in plan(spark.range(10), many) and "BroadcastHashJoin" in plan(spark.range(10), few)
+    assert "BroadcastHashJoin" not in plan(spark.range(10), iteration.union_of([few, few])) and "BroadcastHashJoin" in plan(spark.range(10), iteration.small(many))
