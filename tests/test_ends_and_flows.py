@@ -1,6 +1,9 @@
 """Ends by distance, widths, factor graphs, flow fits and draws on small graphs, against enumeration."""
 
+import itertools
 import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -172,3 +175,29 @@ def test_column_draws_have_the_right_moments(spark):
     assert all(abs(a - b) < 0.02 for a, b in zip(m, (0.5, 3.0, 0.5, 0.5), strict=True))
 
 
+def test_min_fill_equals_plain_elimination_and_takes_thousands_of_variables():
+    def plain(near):
+        left, width = {n: set(m) for n, m in near.items()}, -1
+        while left:
+            node = min(left, key=lambda n: (sum(1 for a, b in itertools.combinations(sorted(left[n]), 2) if b not in left[a]), n))
+            around = left.pop(node)
+            width = max(width, len(around))
+            for a in around:
+                left[a] |= around - {a}
+                left[a].discard(node)
+        return width
+
+    for seed in range(60):
+        r = random.Random(seed)
+        names, near = [f"v{i}" for i in range(r.randint(1, 24))], {}
+        for n in names:
+            near.setdefault(n, set())
+        for a, b in itertools.combinations(names, 2):
+            if r.random() < r.choice((0.1, 0.3, 0.6)):
+                near[a].add(b), near[b].add(a)
+        assert factorgraph.min_fill(near) == plain(near), seed
+    side = 50
+    cell = lambda i, j: f"{i:02}_{j:02}"
+    grid = {cell(i, j): {cell(a, b) for a, b in ((i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1)) if 0 <= a < side and 0 <= b < side} for i in range(side) for j in range(side)}
+    began = time.perf_counter()
+    assert factorgraph.min_fill(grid) >= side // 2 and time.perf_counter() - began < 30
