@@ -4,8 +4,13 @@ round is a table in the shared folder."""
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .graph import CHAIN, components, hops, reversed_edges
 from .iteration import FEW, counted, discard, in_steps, narrow, settle, small
@@ -179,9 +184,86 @@ def trimmed(edges: DataFrame) -> DataFrame:
     return left
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+#: Edges of a gene up to which one task finds its cycles.
+ALONE = 1 << 16
+
+
+def _cycles(edges: list[tuple]) -> Iterator[tuple]:
+    """(node, component) of the nodes on cycles: depth-first order of leaving ahead, then what leads back (Kosaraju)."""
+    out, back = defaultdict(list), defaultdict(list)
+    for u, v in edges:
+        out[u].append(v)
+        back[v].append(u)
+    seen, left = set(), []
+    for root in out:
+        if root in seen:
+            continue
+        seen.add(root)
+        way = [(root, iter(out[root]))]
+        while way:
+            node, rest = way[-1]
+            for v in rest:
+                if v not in seen:
+                    seen.add(v)
+                    way.append((v, iter(out.get(v, ()))))
+                    break
+            else:
+                left.append(node)
+                way.pop()
+    for root in reversed(left):
+        if root not in seen:
+            continue
+        seen.discard(root)
+        part = [root]
+        for node in part:
+            for u in back.get(node, ()):
+                if u in seen:
+                    seen.discard(u)
+                    part.append(u)
+        if len(part) > 1 or root in out.get(root, ()):
+            least = min(part)
+            yield from ((node, least) for node in part)
+
+
+def _cycles_of_genes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gene, u, v) in the order of genes -> (gene, node, component)."""
+    gene, own, rows, schema = None, [], [], None
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema)] if rows else [pa.array([], t) for t in schema], ["gene", "node", "component"])
+
+    for batch in batches:
+        schema = schema or [batch.schema.field(c).type for c in ("gene", "u", "u")]
+        for g, u, v in zip(*(batch.column(c).to_pylist() for c in ("gene", "u", "v")), strict=True):
+            if g != gene and own:
+                rows += [(gene, *x) for x in _cycles(own)]
+                own = []
+            gene = g
+            own.append((u, v))
+        if len(rows) > 10_000:
+            yield made()
+            rows.clear()
+    if own:
+        rows += [(gene, *x) for x in _cycles(own)]
+    if rows:
+        yield made()
+
+
+def strong_components(edges: DataFrame, alone: int | None = None) -> DataFrame:
     """(gene, node, component): nodes that lie on cycles of edges (gene, u, v), with the least node of those that lead to them and back. Other nodes have no row.
 
+    Genes of up to `alone` edges (ALONE) are dealt over the tasks, each whole; larger ones take rounds over all their edges."""
+    e = settle(edges.select("gene", "u", "v").where("gene is not null and u is not null and v is not null").distinct())
+    large, got = counted(e.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") > (ALONE if alone is None else alone)).select("gene"), n=F.count("*"))
+    schema = StructType([StructField("gene", e.schema["gene"].dataType), StructField("node", e.schema["u"].dataType), StructField("component", e.schema["u"].dataType)])
+    each = e.join(large, "gene", "left_anti") if got["n"] else e
+    whole = each.repartition("gene").sortWithinPartitions("gene").mapInArrow(_cycles_of_genes, schema)
+    return whole.union(cycles_in_rounds(e.join(large, "gene", "left_semi"))) if got["n"] else whole
+
+
+def cycles_in_rounds(edges: DataFrame) -> DataFrame:
+    """strong_components of genes of any size.
+
     Nodes that can be on no cycle are trimmed; each of the rest takes the least name among those that lead to it; what leads back to that node inside its colour is a component.
     Components are taken out, edges between colours as well, and the rest goes on."""
     e = edges.select("gene", "u", "v").where("u is not null and v is not null").distinct()

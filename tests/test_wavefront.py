@@ -211,3 +211,24 @@ def test_settled_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     many, few = iteration.settle(spark.range(1001)), iteration.settle(spark.range(1000))
     assert "BroadcastHashJoin" not in plan(spark.range(10), many) and "BroadcastHashJoin" in plan(spark.range(10), few)
     assert "BroadcastHashJoin" not in plan(spark.range(10), iteration.union_of([few, few])) and "BroadcastHashJoin" in plan(spark.range(10), iteration.small(many))
+
+
+def test_cycles_within_tasks_and_in_rounds_are_the_same(spark):
+    """Genes of up to 16 edges take one task each, larger ones rounds; a long way that turns back at its end is one component."""
+    edges = random_edges(5, 14, 24) | random_edges(6, 9, 12) | {(4, f"k{i:04}", f"k{(i + 1) % 3000:04}"): 1.0 for i in range(3000)} | {(3, "x", "x"): 1.0}
+    rows = lambda df: sorted(map(tuple, df.select("gene", "node", "component").collect()))
+    got = rows(wavefront.strong_components(table(spark, edges)))
+    few = {k: w for k, w in edges.items() if k[0] != 4}
+    assert [r for r in got if r[0] == 4] == [(4, f"k{i:04}", "k0000") for i in range(3000)] and (3, "x", "x") in got
+    want = rows(wavefront.cycles_in_rounds(table(spark, few)))
+    assert [r for r in got if r[0] != 4] == want == rows(wavefront.strong_components(table(spark, few), 16))
+
+
+def test_cycles_of_small_genes_take_few_jobs(spark):
+    """Rounds took some hundred jobs over all genes until the last one had no cycle left."""
+    edges = {(g, f"n{i}", f"n{j}"): 1.0 for g in range(5) for i, j in ((0, 1), (1, 0), (1, 2), (2, 3), (3, 2), (3, 4), (4, 5), (5, 4))}
+    spark.sparkContext.setJobGroup("cycles", "cycles")
+    got = wavefront.strong_components(table(spark, edges)).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cycles"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 30 and {r.component for r in got} == {"n0", "n2", "n4"} and jobs < 20
