@@ -4,8 +4,10 @@ round is a table in the shared folder."""
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,35 @@ def _either(when: Column, own: Column, there: Column) -> Column:
     return F.inline(F.when(when, F.array(own, there)).otherwise(F.array(own)))
 
 
+def _each_gene(solve: Callable[[list[tuple]], Iterable[tuple]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (gene, u, v, ...) in the order of genes: the gene with each row that `solve` makes of the gene's other columns; what it makes are nodes, as u."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gene, own, rows, types = None, [], [], None
+
+        def made() -> pa.RecordBatch:
+            out, columns = pa.RecordBatch.from_arrays, zip(zip(*rows, strict=True), types, strict=True)
+            return out([pa.array(c, t) for c, t in columns], names)
+
+        for batch in batches:
+            types = types or [batch.column(0).type] + [batch.column(1).type] * (len(names) - 1)
+            for g, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != gene and own:
+                    rows += [(gene, *x) for x in solve(own)]
+                    own = []
+                gene = g
+                own.append(tuple(row))
+            if len(rows) > 10_000:
+                yield made()
+                rows.clear()
+        if own:
+            rows += [(gene, *x) for x in solve(own)]
+        if rows:
+            yield made()
+
+    return run
+
+
 # ---- bounded distances ----
 
 
@@ -55,10 +86,76 @@ def ego_graphs(edges: DataFrame, starts: DataFrame, radius: float, buckets: int
     return state.select(*keys, "distance", (F.col("distance") > radius).alias("on_rim"))
 
 
-def ego_core(edges: DataFrame, starts: DataFrame, radius: float) -> DataFrame:
+#: A gene's edges times its edges and starts up to which one task does it.
+EGO_WORK = 1 << 22
+
+
+def _ball(near: dict, start, radius: float) -> dict:
+    """Distances from start to the nodes within the radius, and to those that an edge leads to from there."""
+    best, waits, done = {start: 0.0}, [(0.0, start)], set()
+    while waits:
+        far, node = heapq.heappop(waits)
+        if node in done or far > radius:
+            continue
+        done.add(node)
+        for v, w in near.get(node, ()):
+            if far + w < best.get(v, float("inf")):
+                best[v] = far + w
+                heapq.heappush(waits, (far + w, v))
+    return best
+
+
+def _between(rows: list[tuple], radius: float) -> Iterator[tuple]:
+    """(start, node) of one gene's core: rows are edges (u, v, weight) and, with v null, starts."""
+    starts, ahead, behind = [], defaultdict(list), defaultdict(list)
+    for u, v, w in rows:
+        if v is None:
+            starts.append(u)
+        else:
+            ahead[u].append((v, w))
+            behind[v].append((u, w))
+    reach: dict = {}
+    for start in starts:
+        sides = []
+        for own, other in ((ahead, behind), (behind, ahead)):
+            ball = _ball(own, start, radius)
+            past = [n for n, far in ball.items() if far > radius]
+            seen = set(past)
+            for node in past:
+                for v, _ in own.get(node, ()) if len(own.get(node, ())) != 1 else ():
+                    if v not in seen:
+                        seen.add(v)
+                        past.append(v)
+            side: set = set()
+            for node in past:
+                if len(own.get(node, ())) == 1 and ball.get(node, radius + 1) > radius:
+                    key = (own is ahead, node)
+                    if key not in reach:
+                        reach[key] = set(_ball(other, node, radius))
+                    side |= reach[key]
+            sides.append(side)
+        yield from ((start, node) for node in sides[0] & sides[1])
+
+
+def ego_core(edges: DataFrame, starts: DataFrame, radius: float, work: int | None = None) -> DataFrame:
     """(gene, start, node): what lies between the far ends of each start's surroundings. Ahead and behind of it walks go on within the radius and, past it, through nodes that have not exactly one next
-    node; they end at the first node past it that has one. The core is what lies (within the radius or on the rim) back from an end ahead and also on from an end behind."""
-    e = settle(edges.where("u is not null and v is not null").groupBy("gene", "u", "v").agg(F.min("weight").cast("double").alias("weight")))
+    node; they end at the first node past it that has one. The core is what lies (within the radius or on the rim) back from an end ahead and also on from an end behind.
+
+    Genes of few edges and starts (EGO_WORK) are dealt over the tasks, each whole; larger ones take rounds over all their edges."""
+    e = settle(edges.where("gene is not null and u is not null and v is not null").groupBy("gene", "u", "v").agg(F.min("weight").cast("double").alias("weight")))
+    s = settle(starts.select("gene", "start").where("gene is not null and start is not null").distinct())
+    rows = e.select("gene", "u", "v", "weight").union(s.select("gene", "start", F.lit(None).cast(e.schema["v"].dataType), F.lit(None).cast("double")))
+    sizes = rows.groupBy("gene").agg(F.count("v").alias("edges"), F.count("*").alias("all"))
+    large, got = counted(sizes.where(F.col("edges") * F.col("all") > (EGO_WORK if work is None else work)).select("gene"), n=F.count("*"))
+    schema = StructType([StructField("gene", e.schema["gene"].dataType), StructField("start", e.schema["u"].dataType), StructField("node", e.schema["u"].dataType)])
+    each = rows.join(large, "gene", "left_anti") if got["n"] else rows
+    whole = each.repartition("gene").sortWithinPartitions("gene").mapInArrow(_each_gene(partial(_between, radius=radius), ["gene", "start", "node"]), schema)
+    return whole.union(ego_core_in_rounds(*(t.join(large, "gene", "left_semi") for t in (e, s)), radius)) if got["n"] else whole
+
+
+def ego_core_in_rounds(e: DataFrame, starts: DataFrame, radius: float) -> DataFrame:
+    """ego_core of genes of any size; e: distinct edges (gene, u, v, weight)."""
+    e = settle(e)
     back = e.select("gene", F.col("v").alias("u"), F.col("u").alias("v"), "weight")
     keys, sides = ["gene", "start", "node"], []
     for ahead, behind in ((e, back), (back, e)):
@@ -225,30 +322,6 @@ def _cycles(edges: list[tuple]) -> Iterator[tuple]:
             yield from ((node, least) for node in part)
 
 
-def _cycles_of_genes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gene, u, v) in the order of genes -> (gene, node, component)."""
-    gene, own, rows, schema = None, [], [], None
-
-    def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema)] if rows else [pa.array([], t) for t in schema], ["gene", "node", "component"])
-
-    for batch in batches:
-        schema = schema or [batch.schema.field(c).type for c in ("gene", "u", "u")]
-        for g, u, v in zip(*(batch.column(c).to_pylist() for c in ("gene", "u", "v")), strict=True):
-            if g != gene and own:
-                rows += [(gene, *x) for x in _cycles(own)]
-                own = []
-            gene = g
-            own.append((u, v))
-        if len(rows) > 10_000:
-            yield made()
-            rows.clear()
-    if own:
-        rows += [(gene, *x) for x in _cycles(own)]
-    if rows:
-        yield made()
-
-
 def strong_components(edges: DataFrame, alone: int | None = None) -> DataFrame:
     """(gene, node, component): nodes that lie on cycles of edges (gene, u, v), with the least node of those that lead to them and back. Other nodes have no row.
 
@@ -257,7 +330,7 @@ def strong_components(edges: DataFrame, alone: int | None = None) -> DataFrame:
     large, got = counted(e.groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") > (ALONE if alone is None else alone)).select("gene"), n=F.count("*"))
     schema = StructType([StructField("gene", e.schema["gene"].dataType), StructField("node", e.schema["u"].dataType), StructField("component", e.schema["u"].dataType)])
     each = e.join(large, "gene", "left_anti") if got["n"] else e
-    whole = each.repartition("gene").sortWithinPartitions("gene").mapInArrow(_cycles_of_genes, schema)
+    whole = each.repartition("gene").sortWithinPartitions("gene").mapInArrow(_each_gene(_cycles, ["gene", "node", "component"]), schema)
     return whole.union(cycles_in_rounds(e.join(large, "gene", "left_semi"))) if got["n"] else whole
 
 

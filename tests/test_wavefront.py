@@ -232,3 +232,15 @@ def test_cycles_of_small_genes_take_few_jobs(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("cycles"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(got) == 30 and {r.component for r in got} == {"n0", "n2", "n4"} and jobs < 20
+
+
+def test_ego_cores_within_tasks_and_in_rounds_are_the_same(spark):
+    """Few jobs where genes are small; rounds over all genes took some hundred, with their tables held by the driver."""
+    edges = {(g, u, v): 1.0 + (ord(u[-1]) + ord(v[-1])) % 5 for g, u, v in random_edges(7, 16, 30) if u != v}
+    starts = spark.createDataFrame(sorted({(g, n) for g, u, v in edges for n in (u, v)}), "gene int, start string")
+    spark.sparkContext.setJobGroup("ego", "ego")
+    got = sorted(map(tuple, wavefront.ego_core(table(spark, edges), starts, 3).collect()))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ego"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got and got == sorted(map(tuple, wavefront.ego_core(table(spark, edges), starts, 3, work=0).collect()))
+    assert jobs < 20
