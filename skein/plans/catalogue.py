@@ -324,7 +324,7 @@ BIGRAPH = (
 
 
 def _edges(spark, d):
-    return graph.both_strands(domain.links(spark, d))
+    return graph.both_strands(domain.link_rows(spark, d))
 
 
 @query(f"""WITH {BIGRAPH}, {COVERAGE}, t AS (SELECT unitig, sum(cov) AS c FROM cov GROUP BY 1), seg AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_size AS len, coalesce(c, 0) AS c FROM part LEFT JOIN t ON unitig = p_partkey)

@@ -172,7 +172,7 @@ def node_and_edge_sink(spark, d):
     from skein.operators import graph
 
     path = shared_path(spark, "tables")
-    writers.node_and_edge_tables(graph.both_strands(domain.links(spark, d)).select("u", "v").distinct(), path)
+    writers.node_and_edge_tables(graph.both_strands(domain.link_rows(spark, d).withColumn("gene", F.lit(0))).select("u", "v"), path)
     nodes, edges = spark.read.csv(f"{path}/nodes", header=True), spark.read.csv(f"{path}/edges", header=True)
     count = lambda kind, df: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     return count("nodes", nodes).union(count("edges", edges))

@@ -32,6 +32,7 @@ def coverage(cov: DataFrame, path: str, sep: str = ",") -> None:
 
 def node_and_edge_tables(edges: DataFrame, path: str) -> None:
     """Nodes with ids and edges between ids, as two CSV tables."""
+    edges = graph.settle(edges)
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("id", F.xxhash64("node"))
     nodes.write.mode("overwrite").csv(f"{path}/nodes", header=True)
     edges.select(F.xxhash64("u").alias("from"), F.xxhash64("v").alias("to"), *[c for c in edges.columns if c not in ("u", "v")]).write.mode("overwrite").csv(f"{path}/edges", header=True)

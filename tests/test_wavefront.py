@@ -244,3 +244,14 @@ def test_ego_cores_within_tasks_and_in_rounds_are_the_same(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got and got == sorted(map(tuple, wavefront.ego_core(table(spark, edges), starts, 3, work=0).collect()))
     assert jobs < 20
+
+
+def test_strands_are_told_apart_before_they_are_named(spark):
+    """Links that repeat, null ends and null strands: the same rows as of names, but what is shuffled and hashed are ids."""
+    rows = [(1, 2, True, 3, False), (1, 3, True, 2, False), (1, 2, True, 3, False), (2, None, True, 3, None), (2, None, False, 3, False), (None, 4, None, 5, True)]
+    links = spark.createDataFrame(rows, "gene int, src long, src_fwd boolean, dst long, dst_fwd boolean")
+    named = graph.strand_rows(links.fillna(False, ["src_fwd", "dst_fwd"])).distinct()
+    got = graph.both_strands(links)
+    assert sorted(map(str, got.collect())) == sorted(map(str, named.collect()))
+    dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x]
+    assert dealt and all("src_fwd" in x for x in dealt)
