@@ -8,7 +8,7 @@ from skein.functions import columns, special
 from skein.operators import factorgraph, flow, graph, metrics, pathmodel
 
 from . import domain
-from .catalogue import BIGRAPH, CELLS, _cells, _edges, query, rounded
+from .catalogue import BIGRAPH, CELLS, _cells, query, rounded
 from .domain import ENDS, LAYERED, table
 
 SLOPES = LAYERED + ", slopes AS (SELECT gene, v AS node, sum(weight) - 20 AS slope FROM layered GROUP BY 1, 2), flows AS (SELECT gene, u, v, v AS through, weight AS flow FROM layered)"
@@ -138,8 +138,8 @@ def draws(spark, d):
 
 @query(f"""WITH {BIGRAPH}, n AS (SELECT gene, u AS node FROM e UNION SELECT gene, v FROM e) SELECT gene, node FROM n""")
 def strands_present(spark, d):
-    links = domain.links(spark, d)
-    return graph.strands(_edges(spark, d), links.select("gene", F.col("src").alias("unitig")).union(links.select("gene", "dst")).distinct())
+    links = graph.settle(domain.links(spark, d))
+    return graph.strands(graph.both_strands(links), links.select("gene", F.col("src").alias("unitig")).union(links.select("gene", "dst")).distinct())
 
 
 @query(f"""WITH {LAYERED} SELECT gene, u, v, weight FROM layered WHERE u NOT LIKE 'view%' AND v NOT LIKE 'view%'""")
