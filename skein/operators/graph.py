@@ -17,13 +17,17 @@ def strand_rows(links: DataFrame) -> DataFrame:
     return own.select("gene", F.inline(F.array(F.struct("u", "v"), F.struct(reverse_node(F.col("v")).alias("u"), reverse_node(F.col("u")).alias("v")))))
 
 
-def both_strands(links: DataFrame) -> DataFrame:
-    """(gene, u, v): each link and its twin on the other strand, once. They are told apart by ids and strands, and named then, as names take more room in hash tables."""
+def strand_ids(links: DataFrame) -> DataFrame:
+    """(gene, src, src_fwd, dst, dst_fwd): each link and its twin on the other strand, as often as they come."""
     at = lambda c: (F.col(c), F.when(F.col(c).isNotNull(), F.coalesce(f"{c}_fwd", F.lit(False))))
     (src, ahead_), (dst, on) = at("src"), at("dst")
     named = lambda *columns: F.struct(*[c.alias(n) for c, n in zip(columns, ("src", "src_fwd", "dst", "dst_fwd"), strict=True)])
-    once = links.select("gene", F.inline(F.array(named(src, ahead_, dst, on), named(dst, ~on, src, ~ahead_)))).distinct()
-    return once.select("gene", node_name(F.col("src"), F.col("src_fwd")).alias("u"), node_name(F.col("dst"), F.col("dst_fwd")).alias("v"))
+    return links.select("gene", F.inline(F.array(named(src, ahead_, dst, on), named(dst, ~on, src, ~ahead_))))
+
+
+def both_strands(links: DataFrame) -> DataFrame:
+    """(gene, u, v): each link and its twin on the other strand, once. They are told apart by ids and strands, and named then, as names take more room in hash tables."""
+    return strand_ids(links).distinct().select("gene", node_name(F.col("src"), F.col("src_fwd")).alias("u"), node_name(F.col("dst"), F.col("dst_fwd")).alias("v"))
 
 
 def bigraph(links: DataFrame, unitigs: DataFrame, overlap: int) -> DataFrame:

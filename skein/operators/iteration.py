@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,16 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, keys: list[str], made: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """What `made` makes of df, dealt by keys that it keeps, as a bucketed table in the shared folder: joins on the keys shuffle the other side only. Its entry in the catalog goes when it is discarded."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "dealt")
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"skein_{uuid.uuid4().hex}"
+    made(df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", path).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out._skein_path, out._skein_name = path, name
+    return out
+
+
 def union_of(tables: list[DataFrame]) -> DataFrame:
     """All rows of settled tables, shuffled in joins if they are many together."""
     out = tables[0]
@@ -54,6 +65,8 @@ def counted(df: DataFrame, **numbers: Column) -> tuple[DataFrame, dict]:
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing reads any more."""
     for df in tables:
+        if name := getattr(df, "_skein_name", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path := getattr(df, "_skein_path", None):
             where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .graph import CHAIN, components, hops, reversed_edges
-from .iteration import FEW, counted, discard, in_steps, narrow, settle, small
+from .iteration import BROADCAST_ROWS, FEW, counted, dealt, discard, in_steps, narrow, settle, small, union_of
 
 
 def _either(when: Column, own: Column, there: Column) -> Column:
@@ -55,35 +55,45 @@ def _each_gene(solve: Callable[[list[tuple]], Iterable[tuple]], names: list[str]
 # ---- bounded distances ----
 
 
-def ego_graphs(edges: DataFrame, starts: DataFrame, radius: float, buckets: int = 4) -> DataFrame:
+def ego_graphs(edges: DataFrame, starts: DataFrame, radius: float) -> DataFrame:
     """(gene, start, node, distance, on_rim): around each start (gene, start) the nodes within `radius`, by summed weights of edges (gene, u, v, weight), and
     on the rim those that an edge leads to from there; distances are over paths whose nodes but the last lie within. Weights are not negative.
 
-    Delta stepping: nodes wait in buckets of radius / buckets; those of the first bucket are relaxed, again as long as it has open nodes, then the next one. All starts of all
-    genes share the rounds."""
-    near = small(settle(edges.where("u is not null and v is not null").groupBy("gene", F.col("u").alias("node"), "v").agg(F.min("weight").cast("double").alias("weight"))))
-    widest = near.groupBy("gene", "node").count().agg(F.max("count")).first()[0] or 0
-    width = radius / buckets or 1.0
-    keys = ["gene", "start", "node"]
-
-    def numbers(top: float) -> dict[str, Column]:
-        return {"rows": F.count("*"), "now": F.count_if(F.col("open") & (F.col("distance") < top)), "least": F.min(F.when(F.col("open"), F.col("distance")))}
-
-    first = starts.select("gene", "start", F.col("start").alias("node")).distinct().select(*keys, F.lit(0.0).alias("distance"), F.lit(True).alias("open"))
-    top = width
-    state, got = counted(first, **numbers(top))
-    while got["least"] is not None:
-        if not got["now"]:
-            top = (got["least"] // width + 1) * width
-        goes = F.col("open") & (F.col("distance") < top)
-        met = narrow(state, got["rows"] * (1 + widest)).withColumn("from", F.when(goes, F.col("node"))).join(near.withColumnRenamed("node", "from"), ["gene", "from"], "left")
-        far = F.col("distance") + F.col("weight")
-        own = F.struct("node", "distance", (F.col("open") & ~goes).alias("open"))
-        step = met.select("gene", "start", _either(F.col("v").isNotNull(), own, F.struct(F.col("v").alias("node"), far.alias("distance"), (far <= radius).alias("open"))))
-        best = step.groupBy(*keys).agg(F.min(F.struct("distance", "open")).alias("x")).select(*keys, "x.distance", "x.open")  # closed before open where equal
-        before, (state, got) = state, counted(best, **numbers(top))
-        discard(before)
-    return state.select(*keys, "distance", (F.col("distance") > radius).alias("on_rim"))
+    All starts of all genes share the rounds. A round takes only the nodes within that the last one reached or brought nearer; the rim, most of the rows, is made once at the
+    end. Edges are dealt by their first node once, so rounds shuffle what moves, not the edges."""
+    own = edges.where("gene is not null and u is not null and v is not null").select("gene", F.col("u").alias("node"), "v", F.col("weight").cast("double").alias("weight"))
+    table = dealt(own, ["gene", "node"], lambda rows: rows.groupBy("gene", "node", "v").agg(F.min("weight").alias("weight")))
+    near = small(table)
+    widest = table.groupBy("gene", "node").count().agg(F.max("count")).first()[0] or 0
+    keys, far = ["gene", "start", "node"], F.col("distance") + F.col("weight")
+
+    def led(rows: DataFrame) -> DataFrame:
+        """Where edges lead to from nodes within the radius."""
+        return rows.where(F.col("distance") <= radius).join(near, ["gene", "node"]).select("gene", "start", F.col("v").alias("node"), far.alias("distance"))
+
+    front, got = counted(starts.select("gene", "start", F.col("start").alias("node")).distinct().withColumn("distance", F.lit(0.0)), n=F.count("*"))
+    found, rows = [front], got["n"]
+    while got["n"]:
+        bound = rows + got["n"] * widest
+        met, all_ = counted(led(narrow(front, bound)).where(F.col("distance") <= radius).groupBy(*keys).agg(F.min("distance").alias("distance")), n=F.count("*"))
+        before = union_of(found)
+        if bound > FEW and all_["n"] <= BROADCAST_ROWS:
+            before = before.join(F.broadcast(met.select(*keys)), keys, "left_semi")
+        was = narrow(before, bound).select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("distance").alias("had"))
+        same = [F.col(k) == F.col(f"{k}_") for k in keys]
+        front, got = counted(narrow(met, bound).join(was, [*same, F.col("had") <= F.col("distance")], "left_anti"), n=F.count("*"))
+        discard(met)
+        found.append(front)
+        rows += got["n"]
+        if len(found) > 8:
+            older = found[:-1]
+            found = [settle(union_of(older)), front]
+            discard(*older)
+    within = narrow(union_of(found), rows * (1 + widest))
+    rim = led(within).where(~F.coalesce(F.col("distance") <= radius, F.lit(False)))
+    out = settle(within.union(rim).groupBy(*keys).agg(F.min("distance").alias("distance")).withColumn("on_rim", F.col("distance") > radius))
+    discard(table, *found)
+    return out
 
 
 #: A gene's edges times its edges and starts up to which one task does it.

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.sequence import unitig_of
+from skein.functions.sequence import node_name
 from skein.operators import graph, pathmodel, wavefront
 
 from . import domain
-from .catalogue import BIGRAPH, _edges, query
+from .catalogue import BIGRAPH, query
 from .domain import LAYERED, table
 
 # ---- the tables as graphs ----
 
 
 def _sized(spark, d):
-    """Both strands' edges, an edge as long as the segment that it leaves; and the nodes of one brand's segments."""
-    part = domain.unitigs(spark, d).select(F.col("gene").alias("brand"), F.col("unitig").cast("string").alias("id"), "len")
-    e = _edges(spark, d).withColumn("id", unitig_of(F.col("u"))).join(part, "id").select("gene", "u", "v", F.col("len").cast("double").alias("weight"), "brand")
-    ends = e.select("gene", F.col("u").alias("start")).union(e.select("gene", "v")).distinct()
-    core = ends.withColumn("id", unitig_of(F.col("start"))).join(part.where("brand = 'Brand#25'"), "id", "left_semi").select("gene", "start")
-    return e.drop("brand"), core
+    """Both strands' edges, an edge as long as the segment that it leaves; and the nodes of one brand's segments. Each link has both nodes of both its segments."""
+    part = domain.unitigs(spark, d)
+    links = graph.settle(domain.link_rows(spark, d))
+    once = graph.strand_ids(links).repartition("src").distinct()  # dealt by what the lengths are looked up by
+    e = once.join(part.select(F.col("unitig").alias("src"), F.col("len").cast("double").alias("weight")), "src")
+    brand = part.where("gene = 'Brand#25'").select("unitig")
+    core = links.select("gene", F.explode(F.array("src", "dst")).alias("unitig")).join(brand, "unitig", "left_semi").distinct()
+    core = core.select("gene", F.explode(F.array(*[node_name(F.col("unitig"), F.lit(f)) for f in (True, False)])).alias("start"))
+    return e.select("gene", node_name(F.col("src"), F.col("src_fwd")).alias("u"), node_name(F.col("dst"), F.col("dst_fwd")).alias("v"), "weight"), core
 
 
 SIZED = (
