@@ -32,12 +32,27 @@ def mean_coverage(coverage: DataFrame, unitigs: DataFrame, length: float) -> Dat
     return coverage.join(unitigs.select("gene", "unitig", "len"), ["gene", "unitig"]).groupBy("gene", "sample").agg((F.sum(F.col("len") * F.col("cov")) / F.lit(float(length))).alias("mean_cov"))
 
 
-def path_coverage(paths: DataFrame, coverage: DataFrame, unitigs: DataFrame, overlap: int, keys: list[str]) -> DataFrame:
-    """keys + (sample, path_cov): mean along paths (keys, pos, gene, unitig), weighted by len - overlap, the last by its whole length; paths without weight are left out."""
-    w = Window.partitionBy(*keys)
-    steps = paths.withColumn("last", F.max("pos").over(w)).join(unitigs.select("gene", "unitig", "len"), ["gene", "unitig"])
-    steps = steps.withColumn("weight", F.when(F.col("pos") == F.col("last"), F.col("len")).otherwise(F.col("len") - overlap).cast("double"))
-    return steps.join(coverage, ["gene", "unitig"]).groupBy(*keys, "sample").agg((F.sum(F.col("weight") * F.col("cov")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("path_cov")).where("path_cov is not null")
+#: Steps of paths that one partition fans out over its segments' samples.
+STEPS = 1 << 17
+
+
+def path_coverage(paths: DataFrame, coverage: DataFrame, unitigs: DataFrame, overlap: int, keys: list[str], parts: int | None = None) -> DataFrame:
+    """keys + (sample, path_cov): mean along paths (keys, pos, gene, unitig), weighted by len - overlap, the last by its whole length; paths without weight are left out. Where paths have no
+    gene, segments are looked up by unitig alone.
+
+    Paths meet in the partitions that they come in by their keys. A segment's samples go once to each partition that has it, with all its steps there, and fan out there: dealt by ranges of
+    keys, paths that share segments share what is moved. parts: how many partitions these are, if not as many as a shuffle has."""
+    on, at, w = [c for c in ("gene", "unitig") if c in paths.columns], [*keys, "sample"], Window.partitionBy(*keys)
+    steps = paths.withColumn("last", F.max("pos").over(w)).select(*on, F.spark_partition_id().alias("_part"), F.struct(*keys, (F.col("pos") == F.col("last")).alias("_last")).alias("_step"))
+    steps = steps.repartition(*on).groupBy(*on, "_part").agg(F.collect_list("_step").alias("_steps"))
+    covered = coverage.groupBy(*on).agg(F.collect_list(F.struct("sample", "cov")).alias("_cov"))
+    met = steps.join(unitigs.select(*on, "len"), on).join(covered, on)
+    met = met.repartitionById(parts or int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("_part"))
+    met = met.select("_part", "len", "_cov", F.explode("_steps").alias("_step"))
+    weight = F.when(F.col("_step._last"), F.col("len")).otherwise(F.col("len") - overlap).cast("double")
+    met = met.select("_part", *[F.col("_step")[k].alias(k) for k in keys], weight.alias("_weight"), F.inline("_cov").alias("sample", "_c"))
+    sums = met.groupBy("_part", *at).agg(F.sum(F.col("_weight") * F.col("_c")).alias("_sum"), F.sum("_weight").alias("_all")).where("_all > 0")
+    return sums.select(*at, (F.col("_sum") / F.col("_all")).alias("path_cov"))
 
 
 def noise_nodes(x: DataFrame, share: float) -> DataFrame:

@@ -94,10 +94,11 @@ def mean_coverage(spark, d):
 SELECT l_orderkey, sample, round(sum((p_size - CASE WHEN pos = last THEN 0 ELSE 1 END) * cov) / sum(p_size - CASE WHEN pos = last THEN 0 ELSE 1 END), 6) AS path_cov
 FROM s JOIN part ON l_partkey = p_partkey JOIN cov ON unitig = l_partkey GROUP BY 1, 2 HAVING sum(p_size - CASE WHEN pos = last THEN 0 ELSE 1 END) > 0""")
 def path_coverage(spark, d):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").withColumn("pos", F.row_number().over(w)).withColumnRenamed("l_partkey", "unitig")
-    paths = li.join(domain.unitigs(spark, d).select("gene", "unitig"), "unitig").select("l_orderkey", "pos", "gene", "unitig")
-    return rounded(cov.path_coverage(paths, domain.coverage(spark, d), domain.unitigs(spark, d), 1, ["l_orderkey"]), "path_cov")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("unitig"))
+    parts = 1 + lines.count() // cov.STEPS
+    w = Window.partitionBy("l_orderkey").orderBy(F.asc_nulls_last("l_linenumber"), F.asc_nulls_last("unitig"))
+    paths = lines.repartitionByRange(parts, "l_orderkey").select("l_orderkey", F.row_number().over(w).alias("pos"), "unitig")
+    return rounded(cov.path_coverage(paths, domain.coverage(spark, d), domain.unitigs(spark, d), 1, ["l_orderkey"], parts), "path_cov")
 
 
 @query(f"""WITH {ADJUSTED}, g AS (SELECT count(DISTINCT sample) AS n_samples, round(sum(x), 4) AS total, round(max(x) - min(CASE WHEN x > 0 THEN x END), 6) AS spread FROM adj)
