@@ -15,11 +15,16 @@ from .domain import LAYERED, table
 # ---- the tables as graphs ----
 
 
+#: Links that one task tells apart, so that its memory does not grow with the tables.
+LINK_ROWS = 1 << 17
+
+
 def _sized(spark, d):
     """Both strands' edges, an edge as long as the segment that it leaves; and the nodes of one brand's segments. Each link has both nodes of both its segments."""
     part = domain.unitigs(spark, d)
     links = graph.settle(domain.link_rows(spark, d))
-    once = graph.strand_ids(links).repartition("src").distinct()  # dealt by what the lengths are looked up by
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), links._skein_rows // LINK_ROWS)
+    once = graph.strand_ids(links).repartition(parts, "src").distinct()  # dealt by what the lengths are looked up by
     e = once.join(part.select(F.col("unitig").alias("src"), F.col("len").cast("double").alias("weight")), "src")
     brand = part.where("gene = 'Brand#25'").select("unitig")
     core = links.select("gene", F.explode(F.array("src", "dst")).alias("unitig")).join(brand, "unitig", "left_semi").distinct()

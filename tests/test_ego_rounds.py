@@ -73,3 +73,12 @@ def test_ego_graphs_where_a_part_is_missing(spark, tmp_path):
     want = sorted(map(repr, con.sql(registry.ORACLES["ego_graphs"]).fetchall()))
     got = sorted(repr(tuple(r)) for r in graphs.ego_graphs(spark, str(tmp_path)).select("gene", "start", "node", "distance", "on_rim").collect())
     assert got == want and want
+
+
+def test_links_are_told_apart_in_more_tasks_where_there_are_more(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("id div 5 AS l_orderkey", "id AS l_partkey", "cast(id % 5 AS int) AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr("id AS p_partkey", "'Brand#25' AS p_brand", "cast(9 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(graphs, "LINK_ROWS", 8)
+    edges, core = graphs._sized(spark, str(tmp_path))
+    assert "RepartitionByExpression [src" in (plan := edges._jdf.queryExecution().optimizedPlan().toString()) and ", 10" in plan  # 80 links
+    assert edges.count() == 160 and core.count() == 200
